@@ -42,10 +42,8 @@ def drop_seen(df: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
 
 def with_fallback(df: DataFrame, fallback: DataFrame) -> DataFrame:
     """The run's rows, or the fallback rows when the run has none."""
-    empty = df.limit(1).agg(F.count("*").alias("n_rows")).filter("n_rows = 0").select("n_rows")
-    # One row or none on the right: a switch, not a product.
-    spare = fallback.join(F.broadcast(empty), F.lit(True)).drop("n_rows")
-    return df.unionByName(spare, allowMissingColumns=True)
+    n_rows = df.limit(1).agg(F.count("*")).scalar()
+    return df.unionByName(fallback.filter(n_rows == 0), allowMissingColumns=True)
 
 
 def cap_per_source(links: DataFrame, n: int, source: str = "source", order: str = "pos") -> DataFrame:

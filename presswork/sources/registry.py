@@ -124,10 +124,8 @@ def registry_frame(spark: SparkSession, sources: list[Source] = SOURCES) -> Data
 def lookup_sources(registry: DataFrame, requested: DataFrame, name: str = "name") -> DataFrame:
     """The registry rows a table of requested names asks for; all rows when no name is valid."""
     valid = registry.join(requested.select(F.col(name).alias("key")).distinct(), "key", "left_semi")
-    none_valid = valid.agg(F.count("*").alias("n_valid")).filter("n_valid = 0").select("n_valid")
-    # At most one row on the right: not a product.
-    everything = registry.join(F.broadcast(none_valid), F.lit(True)).drop("n_valid")
-    return valid.unionByName(everything)
+    n_valid = valid.agg(F.count("*")).scalar()
+    return valid.unionByName(registry.filter(n_valid == 0))
 
 
 def invalid_sources(requests: DataFrame, valid_names: list[str], column: str = "sources") -> DataFrame:

@@ -173,11 +173,13 @@ walk AS (
          WHEN list_contains(w.prints, r.content_fingerprint) THEN 0.90::DOUBLE ELSE 0::DOUBLE END,
     w.ids[coalesce(list_position(w.urls, r.url), list_position(w.titles, r.title_hash),
                    list_position(w.prints, r.content_fingerprint))],
-    CASE WHEN reason IS NULL THEN list_append(w.urls, r.url) ELSE w.urls END,
-    CASE WHEN reason IS NULL THEN list_append(w.titles, r.title_hash) ELSE w.titles END,
-    CASE WHEN reason IS NULL THEN list_append(w.prints, r.content_fingerprint) ELSE w.prints END,
-    CASE WHEN reason IS NULL THEN list_append(w.ids, r.doc_id) ELSE w.ids END
-  FROM walk w JOIN numbered r ON r.n = w.n + 1)"""
+    CASE WHEN NOT hit THEN list_append(w.urls, r.url) ELSE w.urls END,
+    CASE WHEN NOT hit THEN list_append(w.titles, r.title_hash) ELSE w.titles END,
+    CASE WHEN NOT hit THEN list_append(w.prints, r.content_fingerprint) ELSE w.prints END,
+    CASE WHEN NOT hit THEN list_append(w.ids, r.doc_id) ELSE w.ids END
+  FROM walk w JOIN numbered r ON r.n = w.n + 1,
+       LATERAL (SELECT list_contains(w.urls, r.url) OR list_contains(w.titles, r.title_hash)
+                       OR list_contains(w.prints, r.content_fingerprint) AS hit))"""
 
 RUNS = """
 runs AS (SELECT 'run_' || lpad(event_id::VARCHAR, 12, '0') AS run_id, user_id AS articles_found, user_id AS new_articles,

@@ -159,7 +159,7 @@ keyed AS (SELECT doc_id, lang, url, md5({normalize(TITLE)}) AS title_hash,
 
 # Row by row in order, carrying the keys of everything kept so far.
 GREEDY = KEYED + """,
-numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM keyed),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM keyed),
 walk AS (
   SELECT 0::BIGINT AS n, NULL::BIGINT AS doc_id, NULL::VARCHAR AS reason, NULL::DOUBLE AS similarity, NULL::BIGINT AS matched,
          []::VARCHAR[] AS urls, []::VARCHAR[] AS titles, []::VARCHAR[] AS prints, []::BIGINT[] AS ids
@@ -364,8 +364,11 @@ def statements() -> dict[str, str]:
         "json_ld_articles": f"""SELECT doc_id AS page_id, md5({clean(TITLE)}) AS title_md5, md5({clean('text')}) AS content_md5,
             source AS author, '2024-01-02' AS published_date,
             {quality(clean(TITLE), clean('text'), author="'x'", date="'x'")} AS quality_score, 'json_ld' AS extraction_strategy FROM documents""",
-        "microdata_articles": f"""SELECT doc_id AS page_id, md5({TITLE}) AS title_md5, md5(text) AS content_md5, source AS author,
-            {quality(TITLE, 'text', author="'x'")} AS quality_score, 'microdata' AS extraction_strategy FROM documents""",
+        "microdata_articles": f"""WITH q AS (SELECT doc_id, source, text, {quality(TITLE, 'text', author="'x'")} AS q FROM documents)
+            SELECT doc_id AS page_id, CASE WHEN q < 0.3::DOUBLE THEN md5('') ELSE md5({TITLE}) END AS title_md5,
+              CASE WHEN q < 0.3::DOUBLE THEN md5('') ELSE md5(text) END AS content_md5,
+              CASE WHEN q < 0.3::DOUBLE THEN '' ELSE source END AS author, CASE WHEN q < 0.3::DOUBLE THEN 0 ELSE q END AS quality_score,
+              CASE WHEN q < 0.3::DOUBLE THEN 'fallback' ELSE 'microdata' END AS extraction_strategy FROM q""",
         "strategy_choice": f"""WITH {QUICK}, k AS (SELECT page_id, {quality("''", 'content')} AS q1, {quality('title', 'content')} AS q2,
               {quality('title', 'first_text')} AS qf FROM quick)
             SELECT page_id, CASE WHEN greatest(q1, q2) < 0.3::DOUBLE THEN 'fallback' WHEN q2 > q1 THEN 'html_semantic' ELSE 'opengraph' END AS strategy,

@@ -28,7 +28,7 @@ from presswork.operators.extract import (  # noqa: E402
 from presswork.operators.tfidf import best_stored_match, tfidf_similar, tfidf_vectors  # noqa: E402
 from presswork.plans import views  # noqa: E402
 from presswork.plans.collect import article_rows, union_sources, with_host  # noqa: E402
-from presswork.session import durable, fresh_path  # noqa: E402
+from presswork.session import durable, fresh_path, spread  # noqa: E402
 from presswork.sinks import store  # noqa: E402
 from presswork.sources.links import anchor_links  # noqa: E402
 from presswork.sources.pages import cap_per_source, drop_seen, load_seen, read_pages, with_fallback  # noqa: E402
@@ -65,10 +65,23 @@ def _docs(spark, sf) -> DataFrame:
     return _table(spark, sf, "documents")
 
 
+def _docs_spread(spark, sf) -> DataFrame:
+    """Documents for costly text work."""
+    return spread(_docs(spark, sf), "doc_id")
+
+
+def _pages_spread(spark, sf) -> DataFrame:
+    return spread(_pages(spark, sf), "page_id")
+
+
 def _articles(spark, sf) -> DataFrame:
     return views.articles_from_documents(_docs(spark, sf))
 
 
+def _articles_spread(spark, sf) -> DataFrame:
+    return views.articles_from_documents(_docs_spread(spark, sf))
+
+
 def _events(spark, sf) -> DataFrame:
     return _table(spark, sf, "events")
 
@@ -76,14 +89,14 @@ def _events(spark, sf) -> DataFrame:
 def _on_docs(**columns) -> Callable[[SparkSession, str], DataFrame]:
     """A query adding column expressions to every document."""
     def run(spark, sf):
-        return _docs(spark, sf).select("doc_id", *[make().alias(name) for name, make in columns.items()])
+        return _docs_spread(spark, sf).select("doc_id", *[make().alias(name) for name, make in columns.items()])
 
     return run
 
 
 def _on_articles(*keep, **columns):
     def run(spark, sf):
-        return _articles(spark, sf).select(*keep, *[make().alias(name) for name, make in columns.items()])
+        return _articles_spread(spark, sf).select(*keep, *[make().alias(name) for name, make in columns.items()])
 
     return run
 
@@ -180,7 +193,7 @@ def _tagged_pages(spark, sf) -> DataFrame:
         return c
 
     title = attribute(views.first_line("text"))
-    return _docs(spark, sf).select(
+    return _docs_spread(spark, sf).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"),
         F.concat(
             F.lit('<html><head><meta property="og:title" content="'), title,
@@ -203,7 +216,7 @@ def _json_ld_pages(spark, sf) -> DataFrame:
         F.col("text").alias("articleBody"), F.array(F.struct(F.col("source").alias("name"))).alias("author"),
         F.lit("2024-01-02T03:04:05").alias("datePublished"),
     ))
-    return _docs(spark, sf).select(
+    return _docs_spread(spark, sf).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"),
         F.concat(
             F.lit('<html><head><script type="application/ld+json">{bad</script><script type="application/ld+json">'),
@@ -223,7 +236,7 @@ def microdata_articles(spark, sf):
             c = F.replace(c, F.lit(char), F.lit(entity))
         return c
 
-    pages = _docs(spark, sf).select(
+    pages = _docs_spread(spark, sf).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"),
         F.concat(
             F.lit('<html><body><div itemscope itemtype="https://schema.org/NewsArticle"><h2 itemprop="name">'),
@@ -258,12 +271,12 @@ def strategy_choice(spark, sf):
 
 
 def extracted_pages(spark, sf):
-    placed = with_source(_pages(spark, sf), registry_frame(spark)).drop("base_url", "list_url", "host")
+    placed = with_source(_pages_spread(spark, sf), registry_frame(spark)).drop("base_url", "list_url", "host")
     return extract_articles(placed)
 
 
 def page_metrics(spark, sf):
-    return extraction_metrics(extract_articles(_pages(spark, sf)))
+    return extraction_metrics(extract_articles(_pages_spread(spark, sf)))
 
 
 def stored_metric_rows(spark, sf):
@@ -295,8 +308,8 @@ def best_images(spark, sf):
 def _keyed_docs(spark, sf) -> DataFrame:
     """Documents with a site-wide address: copies of a title on one site share it."""
     url = F.concat(F.lit("https://"), "lang", F.lit(".example/"), F.md5(F.substring("text", 1, 20)))
-    return _docs(spark, sf).select(
-        "doc_id", url.alias("url"), title_hash(views.first_line("text")).alias("title_hash"),
+    return _docs_spread(spark, sf).select(
+        "doc_id", "lang", url.alias("url"), title_hash(views.first_line("text")).alias("title_hash"),
         fingerprint(views.first_line("text"), "text", url).alias("content_fingerprint"))
 
 
@@ -320,13 +333,13 @@ def duplicate_counts(spark, sf):
 
 
 def _sim_texts(spark, sf) -> DataFrame:
-    return _articles(spark, sf).select(
+    return _articles_spread(spark, sf).select(
         "doc_id", "source", "created_at", similarity_text("title", "content").alias("sim_text"))
 
 
 def tfidf_stored_match(spark, sf):
     texts = _sim_texts(spark, sf)
-    vec = tfidf_vectors(texts, "doc_id", "sim_text", "source", P["stop_words"])
+    vec = durable(tfidf_vectors(texts, "doc_id", "sim_text", "source", P["stop_words"]))
     kept = windows.comparison_set(texts.select("doc_id", "source", "created_at"), tie="doc_id")
     stored = kept.select(F.col("source").alias("grp"), F.col("doc_id").alias("key"))
     found = best_stored_match(vec, stored, P["tfidf_threshold"])
@@ -353,11 +366,10 @@ def comparison_rows(spark, sf):
 
 
 def insertable_articles(spark, sf):
-    rows = _keyed_docs(spark, sf).select(
-        "doc_id", article_id(F.col("doc_id").cast("string"), _run_ts()).alias("news_id"), "url", "content_fingerprint")
-    langs = _docs(spark, sf).select("doc_id", "lang")
-    stored = rows.join(langs.filter(F.col("lang") == P["stored_lang"]), "doc_id", "left_semi")
-    new = rows.join(langs.filter(F.col("lang") != P["stored_lang"]), "doc_id", "left_semi")
+    rows = durable(_keyed_docs(spark, sf).select(
+        "doc_id", "lang", article_id(F.col("doc_id").cast("string"), _run_ts()).alias("news_id"), "url",
+        "content_fingerprint"))
+    stored, new = rows.filter(F.col("lang") == P["stored_lang"]), rows.filter(F.col("lang") != P["stored_lang"])
     return store.insertable(new, stored, "doc_id").select("doc_id", "news_id", "url")
 
 
@@ -519,7 +531,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "invalid_source_names": invalid_source_names,
         "anchor_links": lambda s, d: anchor_links(_pages(s, d)),
         "capped_links": capped_links,
-        "seen_state": lambda s, d: load_seen(_articles(s, d)),
+        "seen_state": lambda s, d: load_seen(_articles_spread(s, d)),
         "unseen_pages": unseen_pages,
         "fallback_rows": fallback_rows,
         "articles_union": articles_union,

@@ -76,12 +76,14 @@ def word_count(c: Column | str) -> Column:
 
 def key_phrases(c: Column | str, n: int = 10) -> Column:
     """The first ``n`` adjacent pairs of words longer than three characters."""
-    ws = words(c)
-    pairs = F.zip_with(
-        ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))),
-        lambda a, b: F.when((F.length(a) > 3) & (F.length(b) > 3), F.concat_ws(" ", a, b)),
-    )
-    return F.array_join(F.slice(F.filter(pairs, lambda p: p.isNotNull()), 1, n), " ")
+    def pairs(ws):
+        found = F.zip_with(
+            ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))),
+            lambda a, b: F.when((F.length(a) > 3) & (F.length(b) > 3), F.concat_ws(" ", a, b)),
+        )
+        return F.array_join(F.slice(F.filter(found, lambda p: p.isNotNull()), 1, n), " ")
+
+    return bind(words(c), pairs)
 
 
 def fingerprint(title: Column | str, content: Column | str, url: Column | str) -> Column:

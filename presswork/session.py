@@ -54,3 +54,17 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage into reliable storage, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work when the scan does not.
+
+    A file is read by as many tasks as it has row groups, so a table of few
+    large ones leaves cores idle during costly column work.  Only then are the
+    rows re-distributed; a scan with enough tasks is returned as it is, so
+    large tables are never shuffled for this.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

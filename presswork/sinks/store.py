@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.dedupe import dedupe
+from ..operators.dedupe import keep_order
 from ..operators.reports import quality_columns
 from ..schemas import ARTICLE, EXTRACTION_METRIC, RUN, STATUS
 from ..session import durable
@@ -22,10 +22,12 @@ def insertable(
     new: DataFrame, stored: DataFrame, order: str, keys: Sequence[str] = UNIQUE_KEYS,
 ) -> DataFrame:
     """Rows of ``new`` that unique keys let in: no clash with a stored row or an earlier inserted one."""
+    # Only order and keys take part; the wide rows are read again at the end.
+    keyed = durable(new.select(order, *keys))
     for key in keys:
-        new = drop_seen(new, stored, key)
-    verdicts = dedupe(new, order, keys, reasons=[(k, 1.0) for k in keys])
-    return verdicts.filter(~F.col("is_duplicate")).drop("is_duplicate", "reason", "similarity", "matched")
+        keyed = drop_seen(keyed, stored, key)
+    let_in = keep_order(durable(keyed), order, keys)
+    return new.join(let_in.withColumnRenamed("ord", order), order, "left_semi")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

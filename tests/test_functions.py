@@ -72,7 +72,7 @@ def test_published_ts(one):
 def test_normalize(one):
     text = "A\u00a0Inc42 story: été et  Source http://x.y/z me@x.org Read More b"
     got = one(lambda: fn.normalize_text("t"), t=text)
-    assert got == "a  story: été       b"
+    assert got == "a  story: été      b"
     assert one(lambda: fn.normalize_text("t"), t="") == ""
 
 

@@ -26,6 +26,16 @@ def bind(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def once(value: Column) -> Column:
+    """``value`` as a column that later filters do not copy.
+
+    A filter on a computed column is pushed below it by repeating the whole
+    expression.  A generator of exactly one row stops that.  Use it alone in a
+    ``select``, for values that cost more than carrying them.
+    """
+    return F.explode(F.array(value))
+
+
 def contains_any(text: Column, pieces: list[str]) -> Column:
     """True when any piece is a substring, in one pass."""
     return text.rlike("|".join(re.escape(p) for p in pieces))

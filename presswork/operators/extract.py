@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed_values as fixed
 from ..functions.images import best_image
 from ..functions.quality import candidate_quality, confidence, passes_gate
-from ..functions.text import bind, clean_text, date_part, is_boilerplate, looks_like_date, text_or_empty
+from ..functions.text import bind, clean_text, date_part, is_boilerplate, looks_like_date, once, text_or_empty
 from ..sources.registry import SOURCES, Source
 from .nodes import page_nodes
 from .selectors import attr, first, inside, node_text, quoted, select
@@ -402,7 +402,10 @@ def extract_articles(pages: DataFrame, sources: Sequence[Source] = SOURCES) -> D
     df = extract_candidates(page_nodes(pages), sources, source=has_source)
     best = F.col("best")
     return (
-        df.withColumn("best", _or_fallback(F.col("chosen"), F.col("fallback")))
+        df.select(
+            *[x for x in df.columns if x not in ("candidates", "chosen", "fallback")],
+            once(_or_fallback(F.col("chosen"), F.col("fallback"))).alias("best"),
+        )
         .select(
             *[x for x in df.columns if x not in ("candidates", "chosen", "fallback", "errors")],
             best["found"]["title"].alias("title"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quality import quality_score
-from ..functions.text import as_col, clean_text, is_boilerplate
+from ..functions.text import as_col, clean_text, is_boilerplate, once
 
 # The entities decoded here, `&` last.
 ENTITIES = [
@@ -48,8 +48,7 @@ def meta_content(html: Column | str, name: str) -> Column:
 
 def quick_articles(pages: DataFrame) -> DataFrame:
     """Title, text and quality of pages with well-formed paragraphs, without leaving the JVM."""
+    keep = [c for c in pages.columns if c != "html"]
     read = pages.select(
-        *[c for c in pages.columns if c != "html"],
-        page_title("html").alias("title"), leaf_paragraphs("html").alias("content"),
-    )
-    return read.withColumn("quality_score", quality_score("title", "content"))
+        *keep, once(F.struct(page_title("html").alias("title"), leaf_paragraphs("html").alias("content"))).alias("read"))
+    return read.select(*keep, "read.title", "read.content").withColumn("quality_score", quality_score("title", "content"))

@@ -373,7 +373,7 @@ def statements() -> dict[str, str]:
               {quality('title', 'first_text')} AS qf FROM quick)
             SELECT page_id, CASE WHEN greatest(q1, q2) < 0.3::DOUBLE THEN 'fallback' WHEN q2 > q1 THEN 'html_semantic' ELSE 'opengraph' END AS strategy,
               CASE WHEN greatest(q1, q2) < 0.3::DOUBLE THEN qf ELSE greatest(q1, q2) END AS quality_score FROM k""",
-        "host_quality": f"""{Q} SELECT host, count(*) AS n_articles, round(avg(quality_score), 6) AS avg_quality, sum(length(content)) AS n_chars
+        "host_quality": f"""{Q} SELECT host, count(*) AS n_articles, round(avg(quality_score), 6) AS avg_quality, sum(length(content))::BIGINT AS n_chars
             FROM quick WHERE quality_score >= 0.3::DOUBLE GROUP BY host""",
         "quality_gate": f"{Q} SELECT page_id, quality_score FROM quick WHERE quality_score >= 0.3::DOUBLE",
         "export_threshold": f"{A} SELECT doc_id, quality_score FROM articles WHERE coalesce(quality_score, 0) >= 0.7::DOUBLE",
@@ -419,7 +419,7 @@ def statements() -> dict[str, str]:
         "strategy_share": f"""{A} SELECT * FROM (SELECT extraction_strategy AS strategy, count(*) AS n_articles,
             round(count(*)::DOUBLE / sum(count(*)) OVER () * 100, 6) AS share_pct FROM articles GROUP BY 1) WHERE strategy IS NOT NULL""",
         "quality_stats": f"{A} SELECT round(avg(quality_score), 6) AS avg_quality, max(quality_score) AS max_quality, min(quality_score) AS min_quality FROM articles",
-        "length_stats": "SELECT round(avg(length(text)), 6) AS avg_length, sum(length(text)) AS total_length FROM documents",
+        "length_stats": "SELECT round(avg(length(text)), 6) AS avg_length, sum(length(text))::BIGINT AS total_length FROM documents",
         "sample_article": f"""{A} SELECT substr(title, 1, 80) || '...' AS title, source, quality_score, extraction_strategy AS strategy
             FROM articles ORDER BY created_at DESC, news_id LIMIT 1""",
         "strategy_means": f"{extractions} SELECT host, strategy, round(avg(quality_score), 6) AS mean_quality, count(*) AS n_pages FROM ex GROUP BY ALL",

@@ -15,14 +15,6 @@ from presswork.sources.registry import Source, registry_frame, with_source
 LONG = "This paragraph is long enough to count as prose for the reader. "
 
 
-@pytest.fixture(autouse=True)
-def quick_plans(spark):
-    """Compiling these wide expressions costs more than the few test rows."""
-    spark.conf.set("spark.sql.codegen.wholeStage", "false")
-    yield
-    spark.conf.set("spark.sql.codegen.wholeStage", "true")
-
-
 @pytest.fixture
 def extract(spark):
     def run(*pages, source=None):

@@ -522,7 +522,21 @@ def entry(spark: SparkSession) -> DataFrame:
     return host_quality(spark, "/root/testdata/sf0.001")
 
 
+def _training_data():
+    """The queries of the training-data operators, where that subpackage is present."""
+    try:
+        from presswork.llm import queries as training_data
+        import corpus_pipeline  # noqa: F401
+    except ImportError:
+        return None
+    return training_data
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | (_training_data().queries() if _training_data() else {})
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # sources and sinks
         "page_scan": lambda s, d: _pages(s, d).select("page_id", "url", F.length("html").alias("n_chars")),
@@ -635,4 +649,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.statements()
+    return oracle_queries.statements() | (_training_data().oracle_sql() if _training_data() else {})

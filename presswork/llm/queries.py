@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules as rules
+from . import line_dedup, quality_rules as rules
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,9 +16,14 @@ def op8_quality_rules(spark, sf):
     return rules.quality_rules(_table(spark, sf, "documents"))
 
 
+def op10_line_dedup(spark, sf):
+    return line_dedup.line_verdicts(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op8_quality_rules": op8_quality_rules,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 

@@ -5,13 +5,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, quality_rules as rules
+from . import bpe, line_dedup, quality_rules as rules
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file, the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op7_bpe_round_trip(spark, sf):
+    return bpe.round_trip(_table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op8_quality_rules(spark, sf):
     return rules.quality_rules(_table(spark, sf, "documents"))
 
@@ -22,6 +33,7 @@ def op10_line_dedup(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_quality_rules": op8_quality_rules,
         "op10_line_dedup": op10_line_dedup,
     }

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, quality_rules as rules
+from . import bpe, line_dedup, quality_rules as rules, simhash
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_simhash(spark, sf):
+    return simhash.simhash_query(_table(spark, sf, "documents"))
+
+
 def op7_bpe_round_trip(spark, sf):
     return bpe.round_trip(_table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -33,6 +37,7 @@ def op10_line_dedup(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash": op2_simhash,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_quality_rules": op8_quality_rules,
         "op10_line_dedup": op10_line_dedup,

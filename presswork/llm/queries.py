@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, quality_rules as rules, simhash
+from . import bpe, kd_search, line_dedup, quality_rules as rules, simhash
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +19,11 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_kd_search(spark, sf):
+    vectors = _table(spark, sf, "embeddings")
+    return kd_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op2_simhash(spark, sf):
     return simhash.simhash_query(_table(spark, sf, "documents"))
 
@@ -37,6 +42,7 @@ def op10_line_dedup(spark, sf):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kd_search": op1_kd_search,
         "op2_simhash": op2_simhash,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_quality_rules": op8_quality_rules,
@@ -45,4 +51,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_kd_search": """WITH v AS (
+              SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+            r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    }

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kd_search, line_dedup, packing, quality_rules as rules, simhash
+from . import bpe, kd_search, line_dedup, packing, quality_rules as rules, simhash, suffix_dedup
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,10 @@ def op2_simhash(spark, sf):
     return simhash.simhash_query(_table(spark, sf, "documents"))
 
 
+def op5_suffix_dedup(spark, sf):
+    return suffix_dedup.suffix_query(_table(spark, sf, "documents"))
+
+
 def op6_packing(spark, sf):
     return packing.pack(_table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_search": op1_kd_search,
         "op2_simhash": op2_simhash,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_packing": op6_packing,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_quality_rules": op8_quality_rules,

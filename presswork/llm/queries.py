@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kd_search, line_dedup, packing, quality_rules as rules, simhash, suffix_dedup
+from . import bpe, kd_search, language_id, line_dedup, packing, quality_rules as rules, simhash, suffix_dedup, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,6 +28,14 @@ def op2_simhash(spark, sf):
     return simhash.simhash_query(_table(spark, sf, "documents"))
 
 
+def op3_toxicity(spark, sf):
+    return toxicity.toxicity_query(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+def op4_language_id(spark, sf):
+    return language_id.language_query(_table(spark, sf, "documents"))
+
+
 def op5_suffix_dedup(spark, sf):
     return suffix_dedup.suffix_query(_table(spark, sf, "documents"))
 
@@ -52,6 +60,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kd_search": op1_kd_search,
         "op2_simhash": op2_simhash,
+        "op3_toxicity": op3_toxicity,
+        "op4_language_id": op4_language_id,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_packing": op6_packing,
         "op7_bpe_round_trip": op7_bpe_round_trip,

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from presswork.functions.text import bind
 
-from .common import BLANKS, landed, words
+from .common import landed, words
 
 #: Lines with fewer words are compared exactly only.
 MIN_NEAR = 5
@@ -125,6 +125,9 @@ def _rest(w: Column, cut: Column) -> Column:
 
 def near_duplicates(lines: DataFrame, variants: DataFrame) -> DataFrame:
     """Places of lines that an earlier line differs from by one word."""
+    # Nearly all variants are alone with their key: only the others go on.
+    shared = variants.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key")
+    variants = landed(variants.join(shared, "key", "left_semi"), "line-shared")
     place = F.struct("_id", "_tk", "line_no", "cut")
     by_cut = variants.groupBy("key", "cut").agg(F.min(place).alias("twin"), F.count(F.lit(1)).alias("k"))
     by_key = by_cut.groupBy("key").agg(
@@ -158,14 +161,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     first = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("place"))
     copies = lines.join(first, ["h1", "h2"]).filter(_place() > F.col("place")).select("_id", "_tk", "line_no")
     worded = landed(_with_words(docs, _candidates(lines, first)), "line-words")
-    near = near_duplicates(worded, deletion_variants(worded))
+    near = near_duplicates(worded, landed(deletion_variants(worded), "line-variants"))
     return copies.union(near).groupBy("_id", "_tk").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per document: lines with a word, and the numbers (from 0) of those that go."""
-    counts = _keyed(docs, id_col).select("_id", "_tk", F.size(F.filter(
-        F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.length(F.btrim(s, F.lit(BLANKS))) > 0)).cast("long").alias("n_lines"))
+    # A match runs from a line's first word to its end.
+    counts = _keyed(docs, id_col).select("_id", "_tk", F.regexp_count(
+        F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long").alias("n_lines"))
     met = _join_docs(counts, removed_lines(docs, id_col), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return met.select(F.col("_id").alias(id_col), "n_lines", F.size(removed).cast("long").alias("n_removed"),

@@ -20,8 +20,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from operator import attrgetter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,11 @@ from pyspark.sql import DataFrame, functions as F
 #: How byte-level vocabularies cut a text (fixed value of the format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces a worker remembers.
-MEMORY = 400_000
+MEMORY = 600_000
+#: Pieces merged together, and the longest that are.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 48
+#: Characters of text whose pieces are looked up together.
+LOT_CHARS = 1 << 20
 #: Larger than any rank.
 NEVER = 1 << 40
 
@@ -76,6 +82,9 @@ class Vocabulary:
         pairs = sorted((a << 32 | b, rank) for (a, b), (rank, _) in self.merges.items())
         self.pair_keys = np.array([p for p, _ in pairs], np.int64)
         self.pair_ranks = np.array([r for _, r in pairs], np.int64)
+        #: What the merge of a rank makes.
+        self.whole_of = np.array([w for _, w in sorted(self.merges.values())], np.int64)
+        self.byte_ids = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
         #: The longest token by its first two bytes.
         self.reach: dict[bytes, int] = {}
         for b in self.id_of:
@@ -87,13 +96,6 @@ class Vocabulary:
     def merged(self, piece: bytes) -> list[int]:
         """Exact merging: the lowest-ranked adjacent pair first, leftmost among equals."""
         ids = [self.id_of[piece[k:k + 1]] for k in range(len(piece))]
-        if len(ids) <= 32:  # a scan for each merge costs less than a heap
-            while len(ids) > 1:
-                best = min([(self.merges.get(p, (NEVER, 0)), k) for k, p in enumerate(zip(ids, ids[1:]))])
-                if best[0][0] == NEVER:
-                    break
-                ids[best[1]:best[1] + 2] = [best[0][1]]
-            return ids
         before, after = list(range(-1, len(ids) - 1)), [*range(1, len(ids)), -1]
         heap = [(self.merges[p][0], k, self.merges[p][1], p) for k, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
         heapq.heapify(heap)
@@ -111,6 +113,44 @@ class Vocabulary:
                     heapq.heappush(heap, (rank, a, w, p))
         return [i for i in ids if i >= 0]
 
+    def merged_lot(self, pieces: list[bytes]) -> list[list[int]]:
+        """``merged`` of many pieces: one merge in each of a block of pieces of like length at a time."""
+        order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
+        out: list[list[int]] = [[]] * len(pieces)
+        while order and len(pieces[order[-1]]) > BLOCK_BYTES:
+            k = order.pop()
+            out[k] = self.merged(pieces[k])
+        for at in range(0, len(order), BLOCK_ROWS):
+            rows = order[at:at + BLOCK_ROWS]
+            sizes = np.array([len(pieces[k]) for k in rows])
+            width = int(sizes.max())
+            flat = np.frombuffer(b"".join([pieces[k].ljust(width, b"\0") for k in rows]), np.uint8).reshape(-1, width)
+            ids = self.byte_ids[flat]
+            columns = np.arange(width)
+            ids[columns >= sizes[:, None]] = -1
+            live = np.arange(len(rows))
+            own, ranks = ids, self.pair_rank(ids[:, :-1], ids[:, 1:])
+            while len(live) and own.shape[1] > 1:
+                best = ranks.argmin(axis=1)
+                line = np.arange(len(live))
+                busy = ranks[line, best] < NEVER
+                for k, x in zip(live[~busy].tolist(), own[~busy].tolist()):
+                    out[rows[k]] = [i for i in x if i >= 0]
+                live, own, ranks, best, line = live[busy], own[busy], ranks[busy], best[busy], line[:int(busy.sum())]
+                whole = self.whole_of[ranks[line, best]]
+                # The pair becomes one token and what lies behind moves up.
+                moved = columns[:own.shape[1] - 1] + (columns[:own.shape[1] - 1] > best[:, None])
+                own = np.take_along_axis(own, moved, axis=1)
+                own[line, best] = whole
+                if own.shape[1] > 1:
+                    ranks = np.take_along_axis(np.pad(ranks, ((0, 0), (0, 1)), constant_values=NEVER), moved, axis=1)[:, :-1]
+                    left, right = best > 0, best < own.shape[1] - 1
+                    ranks[line[left], best[left] - 1] = self.pair_rank(own[line[left], best[left] - 1], own[line[left], best[left]])
+                    ranks[line[right], best[right]] = self.pair_rank(own[line[right], best[right]], own[line[right], best[right] + 1])
+            for k, x in zip(live.tolist(), own.tolist()):
+                out[rows[k]] = [i for i in x if i >= 0]
+        return out
+
     def proposed(self, piece: bytes) -> list[int]:
         """Greedy longest match."""
         ids, k, n, find = [], 0, len(piece), self.id_of.get
@@ -126,7 +166,7 @@ class Vocabulary:
         return ids
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a << 32 | b
+        keys = a << 32 | b  # a missing neighbour is -1 and gives a key below all
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], NEVER)
 
@@ -169,45 +209,74 @@ class Vocabulary:
         wrong[owner[~self.sound[flat]]] = True
         fails = ~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
         wrong[owner[:-1][inner][fails]] = True
-        for k in np.flatnonzero(wrong):
-            ids[k] = self.merged(pieces[k])
+        failed = np.flatnonzero(wrong).tolist()
+        for k, exact in zip(failed, self.merged_lot([pieces[k] for k in failed])):
+            ids[k] = exact
         return ids
 
 
+class Piece(NamedTuple):
+    """What is remembered of a piece: its ids, these as text, and the bytes they stand for."""
+    ids: tuple[int, ...]
+    text: str
+    data: bytes
+
+
 class Coder:
     """Encodes and decodes texts, remembering pieces."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.pattern = regex.compile(PIECES)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, Piece] = {}
 
-    def learn(self, pieces: set[str]) -> None:
-        fresh = [p for p in pieces if p not in self.known]
+    def _piece(self, ids: Iterable[int]) -> Piece:
+        get = self.vocabulary.bytes_of
+        return Piece(tuple(ids), ",".join(map(str, ids)), b"".join([get[i] for i in ids]))
+
+    def _learn(self, fresh: set[str], lot: list[list[str]]) -> None:
         if len(self.known) + len(fresh) > MEMORY:
             self.known.clear()
-            fresh = list(pieces)
-        ids = self.vocabulary.encode_pieces([p.encode() for p in fresh])
-        self.known.update(zip(fresh, map(tuple, ids)))
+            fresh = set().union(*lot)
+        found = self.vocabulary.encode_pieces([p.encode() for p in fresh])
+        self.known.update(zip(fresh, map(self._piece, found)))
+        self.known.update((s, self._piece([i])) for s, i in self.vocabulary.special.items())
 
-    def pieces(self, text: str) -> list[str]:
+    def split(self, text: str) -> list[str]:
+        """Pieces of a text; special tokens are pieces of their own."""
         special = self.vocabulary.special_pattern
         if special is None or not special.search(text):
             return self.pattern.findall(text)
         out, at = [], 0
         for m in special.finditer(text):
             out += self.pattern.findall(text[at:m.start()])
-            self.known[m[0]] = (self.vocabulary.special[m[0]],)
             out.append(m[0])
             at = m.end()
         return out + self.pattern.findall(text[at:])
 
+    def pieces(self, texts: Iterable[str | None]) -> Iterator[list[Piece]]:
+        """The encoded pieces of each text in turn; texts are taken in lots, so that many pieces are learnt at once."""
+        lot, size = [], 0
+        for text in texts:
+            lot.append(self.split(text or ""))
+            size += len(text or "")
+            if size >= LOT_CHARS:
+                yield from self._looked_up(lot)
+                lot, size = [], 0
+        yield from self._looked_up(lot)
+
+    def _looked_up(self, lot: list[list[str]]) -> Iterator[list[Piece]]:
+        fresh = set().union(*lot).difference(self.known)
+        if fresh:
+            self._learn(fresh, lot)
+        find = self.known.__getitem__
+        for cut in lot:
+            yield list(map(find, cut))
+
     def encode(self, text: str) -> list[int]:
-        pieces = self.pieces(text)
-        self.learn(set(pieces))
-        return [i for p in pieces for i in self.known[p]]
+        return [i for pieces in self.pieces([text]) for p in pieces for i in p.ids]
 
-    def decode(self, ids) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         get = self.vocabulary.bytes_of
         return b"".join([get[i] for i in ids]).decode("utf-8", errors="replace")
 
@@ -222,7 +291,7 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = coder(path)
         for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "ids": [own.encode(t or "") for t in batch["text"]]})
+            yield pd.DataFrame({id_col: batch[id_col], "ids": [[i for p in pieces for i in p.ids] for pieces in own.pieces(batch["text"])]})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, "text").mapInPandas(run, f"{id_col} {kind}, ids array<int>")
@@ -245,24 +314,16 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
         import pyarrow as pa
 
         own = coder(path)
-        text_of: dict[str, str] = {}
+        text_of, data_of = attrgetter("text"), attrgetter("data")
         for batch in batches:
             counts, encoded, decoded = [], [], []
-            for text in batch.column("text").to_pylist():
-                pieces = own.pieces(text or "")
-                distinct = set(pieces)
-                before = len(own.known)
-                own.learn(distinct)
-                if len(own.known) < before or len(text_of) > MEMORY:
-                    text_of.clear()
-                known = own.known
-                for p in distinct:
-                    if p not in text_of:
-                        text_of[p] = ",".join(map(str, known[p]))
-                ids = [i for p in pieces for i in known[p]]
-                counts.append(len(ids))
-                encoded.append(hashlib.sha256(",".join([text_of[p] for p in pieces]).encode()).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
+            for pieces in own.pieces(batch.column("text").to_pylist()):
+                ids = ",".join(map(text_of, pieces))
+                counts.append(ids.count(",") + 1 if ids else 0)
+                encoded.append(hashlib.sha256(ids.encode()).hexdigest())
+                # The ids' bytes, piece by piece, then read as UTF-8 as a whole.
+                back = b"".join(map(data_of, pieces)).decode("utf-8", errors="replace")
+                decoded.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kd_search, language_id, line_dedup, packing, quality_rules as rules, simhash, suffix_dedup, toxicity
+from . import bpe, kd_search, language_id, line_dedup, packing, quality_model, quality_rules as rules, simhash, suffix_dedup, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,6 +52,10 @@ def op8_quality_rules(spark, sf):
     return rules.quality_rules(_table(spark, sf, "documents"))
 
 
+def op9_quality_model(spark, sf):
+    return quality_model.classify(_table(spark, sf, "documents"))
+
+
 def op10_line_dedup(spark, sf):
     return line_dedup.line_verdicts(_table(spark, sf, "documents"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_quality_rules": op8_quality_rules,
+        "op9_quality_model": op9_quality_model,
         "op10_line_dedup": op10_line_dedup,
     }
 

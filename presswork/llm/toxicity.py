@@ -29,6 +29,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import held_out, landed, words
 
@@ -36,6 +37,8 @@ TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
 #: A lexicon word is in at least so many toxic training texts, and in a share of them this many times that of clean ones.
 LEAST_TEXTS, LEAST_RATIO, LEXICON_WORDS = 5, 6.0, 1000
+#: Lengths of the word beginnings that can enter the lexicon; there they end in a star.
+BEGINNINGS = (4, 5, 6)
 #: Characters on either side of a lexicon word in which a pronoun counts as near.
 NEAR_CHARS = 30
 #: Second-person pronouns of some languages.
@@ -60,51 +63,68 @@ def _automaton(lexicon: tuple[str, ...]):
 
     found = ahocorasick.Automaton()
     for w in lexicon:
-        found.add_word(w, len(w))
+        bare = w.rstrip("*")
+        # A beginning that is a whole entry too is the wider of the two.
+        found.add_word(bare, (len(bare), bare + "*" in lexicon))
     if lexicon:
         found.make_automaton()
     return found
 
 
+@lru_cache(maxsize=2)
+def _entries(lexicon: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(lexicon)
+
+
 def features(text: str | None, lexicon: tuple[str, ...]) -> list[float]:
     text = text or ""
     lower = text.lower()
     n = max(1, len(text.split()))
     places, near = [], 0
     if lexicon:
-        for end, size in _automaton(lexicon).iter(lower):
+        for end, (size, beginning) in _automaton(lexicon).iter(lower):
             start = end - size + 1
-            if (start and (lower[start - 1].isalnum())) or (end + 1 < len(lower) and lower[end + 1].isalnum()):
+            if start and lower[start - 1].isalnum() or not beginning and end + 1 < len(lower) and lower[end + 1].isalnum():
+                continue
+            if places and places[-1] == start:
                 continue
             places.append(start)
             near += bool(_PRONOUN.search(lower, max(0, start - NEAR_CHARS), end + 1 + NEAR_CHARS))
     gaps = np.diff(places) if len(places) > 1 else np.array([])
     kinds = np.bincount(_CLASSES[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], minlength=7)
     size = max(1, len(text))
-    known = set(lexicon)
-    hidden = [w for w in _OBFUSCATED.findall(lower)]
-    plain = sum(w.translate(LOOKALIKES) in known or re.sub(r"[\W\d_]", "", w) in known for w in hidden)
+    hidden = _OBFUSCATED.findall(lower)
+    known = _entries(lexicon)
+
+    def listed(w: str) -> bool:
+        return w in known or any(w[:k] + "*" in known for k in BEGINNINGS)
+
+    plain = sum(listed(w.translate(LOOKALIKES)) or listed(re.sub(r"[\W\d_]", "", w)) for w in hidden)
     return [float(np.log1p(len(text.split()))), len(places) / n, float(np.log1p(len(places))), float((gaps < 200).sum()) / n, near / n,
             kinds[2] / max(1, kinds[1] + kinds[2]), len(_CAPITALS.findall(text)) / n, kinds[4] / n, kinds[5] / size, kinds[6] / size,
             kinds[3] / size, len(hidden) / n, plain / n]
 
 
 def with_features(rows: DataFrame, lexicon: tuple[str, ...], *keep: str) -> DataFrame:
+    """(keep..., x): the features of ``text``, which is not kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(t, lexicon) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, "text").mapInArrow(run, f"{fields}, x array<double>")
+    schema = StructType([*[rows.schema[c] for c in keep], StructField("x", ArrayType(DoubleType()))])
+    return rows.select(*keep, "text").mapInArrow(run, schema)
 
 
 def learn_lexicon(train: DataFrame) -> tuple[str, ...]:
     """Words telling toxic from clean texts of (text, toxic)."""
-    tokens = F.array_distinct(F.transform(words(F.lower("text")), lambda w: F.regexp_replace(w, _STRIP, "")))
+    whole = F.array_distinct(F.transform(words(F.lower("text")), lambda w: F.regexp_replace(w, _STRIP, "")))
+    begun = F.array_distinct(F.flatten(F.transform("whole", lambda w: F.transform(
+        F.filter(F.array(*map(F.lit, BEGINNINGS)), lambda k: F.length(w) >= k), lambda k: F.concat(F.substr(w, F.lit(1), k), F.lit("*"))))))
+    train = train.select("toxic", whole.alias("whole")).select("toxic", F.concat("whole", begun).alias("entries"))
     n = train.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = (n["t"] or 0), n["n"] - (n["t"] or 0)
-    counted = train.select("toxic", F.explode(tokens).alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
+    counted = train.select("toxic", F.explode("entries").alias("word")).groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
     ratio = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("t") + 0.5) / (clean + 1))
     least = max(LEAST_TEXTS, toxic // 200)
     kept = counted.filter((F.col("t") >= least) & (ratio >= LEAST_RATIO) & (F.length("word") > 2))
@@ -118,13 +138,16 @@ class Model:
         self.lexicon, self.trees, self.calibration, self.share = lexicon, trees, calibration, share
 
     def score(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """(keep..., score) of every row."""
+        """(keep..., _score) of every row."""
         if self.trees is None:
-            return docs.select(*keep, F.lit(self.share).alias("score"))
-        rows = with_features(docs, self.lexicon, *keep)
-        raw = self.trees.transform(rows.select(*keep, array_to_vector("x").alias("features")))
-        probed = raw.select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-        return self.calibration.transform(probed).select(*keep, F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0)).alias("score"))
+            return docs.select(*keep, F.lit(self.share).alias("_score"))
+        # The kept columns travel in one, whatever their names.
+        rows = with_features(docs.select(F.struct(*keep).alias("kept"), "text"), self.lexicon, "kept")
+        raw = self.trees.transform(rows.select("kept", array_to_vector("x").alias("features")))
+        probed = raw.select("kept", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+        score = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
+        return self.calibration.transform(probed).select(F.col("kept"), score.alias("value")).select(
+            *[F.col("kept")[c].alias(c) for c in keep], F.col("value").alias("_score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> Model:
@@ -150,10 +173,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 
 def toxicity_query(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     scored = fit(docs, labels, id_col).score(docs, id_col)
-    return scored.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "score",
-                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
+                         (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without those predicted toxic; learns from ``labels`` of ``docs`` themselves."""
-    return fit(docs, labels, id_col).score(docs, *docs.columns).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    return fit(docs, labels, id_col).score(docs, *docs.columns).filter(F.col("_score") < THRESHOLD).select(*docs.columns)

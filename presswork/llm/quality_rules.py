@@ -44,6 +44,8 @@ CUTOFF = 40.0
 CONSISTENCY = 1.41
 #: Statistics judged, with the least standard deviation assumed for each.
 FLOORS = {"x0": 0.35, "x1": 0.12, "x2": 0.08, "x3": 0.12, "x4": 0.12}
+#: Parts that a group's documents are dealt into for joins.
+SALTS = 32
 #: Bins per unit of ln(1 + squared distance).
 BINS = 64
 
@@ -137,9 +139,14 @@ def _factored(moments: DataFrame) -> DataFrame:
     return out.select("g_lang", "g_source", *[f"m_{a}" for a in _DIMS], *[f"l_{b}_{a}" for a, b in _PAIRS])
 
 
+def _salted(groups: DataFrame) -> DataFrame:
+    """A row per group and salt, so that a group's documents meet theirs in many tasks."""
+    return groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
 def _with_distance(rows: DataFrame, factors: DataFrame) -> DataFrame:
     """Squared Mahalanobis distance by forward substitution."""
-    out = rows.join(factors, ["g_lang", "g_source"], "left")
+    out = rows.join(_salted(factors), ["g_lang", "g_source", "salt"], "left")
     for j, a in enumerate(_DIMS):
         inner = sum((F.col(f"l_{a}_{k}") * F.col(f"z_{k}") for k in _DIMS[:j]), F.lit(0.0))
         out = out.withColumn(f"z_{a}", (F.col(a) - F.col(f"m_{a}") - inner) / F.col(f"l_{a}_{a}"))
@@ -165,7 +172,7 @@ def robust_factors(rows: DataFrame) -> DataFrame:
     """
     grid = [F.percentile(F.round(F.col(a) * 64) / 64, 0.5).alias(f"m_{a}") for a in _DIMS]
     medians = rows.groupBy("g_lang", "g_source").agg(*grid)
-    start = rows.join(medians, ["g_lang", "g_source"]).select(*rows.columns, sum(
+    start = rows.join(_salted(medians), ["g_lang", "g_source", "salt"]).select(*rows.columns, sum(
         (((F.col(a) - F.col(f"m_{a}")) / FLOORS[a]) ** 2 for a in _DIMS), F.lit(0.0)).alias("distance2"))
     factors = landed(_factored(_blended(_core_sums(start))), "quality-rules-step")
     for _ in range(STEPS):
@@ -179,8 +186,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                         F.coalesce("source", F.lit("")).alias("g_source"))
     counts = base_statistics(named, id_col, "g_lang", "g_source")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    rows = landed(counts.select("*", failed.alias("base_failed"), *_transformed()), "quality-rules")
-    factors = robust_factors(rows.filter(~F.col("base_failed")).select("g_lang", "g_source", *_DIMS))
+    rows = landed(counts.select("*", failed.alias("base_failed"), *_transformed(),
+                                F.pmod(F.xxhash64(id_col, "n_words"), F.lit(SALTS)).cast("int").alias("salt")), "quality-rules")
+    factors = robust_factors(rows.filter(~F.col("base_failed")).select("g_lang", "g_source", "salt", *_DIMS))
     judged = _with_distance(rows, factors)
     return judged.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2",

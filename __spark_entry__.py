@@ -523,17 +523,21 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _training_data():
-    """The queries of the training-data operators, where that subpackage is present."""
+    """Queries and SQL of the training-data operators and their pipeline, where those are present."""
     try:
+        import corpus_pipeline
         from presswork.llm import queries as training_data
-        import corpus_pipeline  # noqa: F401
     except ImportError:
-        return None
-    return training_data
+        return {}, {}
+    own, sql = training_data.queries(), training_data.oracle_sql()
+    own["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return own, sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _own_queries() | (_training_data().queries() if _training_data() else {})
+    return _own_queries() | _training_data()[0]
 
 
 def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -649,4 +653,4 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.statements() | (_training_data().oracle_sql() if _training_data() else {})
+    return oracle_queries.statements() | _training_data()[1]

@@ -33,19 +33,26 @@ from .common import landed
 
 LENGTH = 4096
 END = 2
-#: Chunks of text a worker remembers.
-MEMORY = 300_000
+#: Chunks of text, and pieces of them, that a worker remembers.
+MEMORY = 700_000
+#: Characters of text whose chunks are looked up together.
+LOT_CHARS = 1 << 20
 #: Documents in a shard of the ranking, about.
 SHARD_ROWS = 50_000
-#: Separators of which Python and the tokenizer differ.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Separators and letters on which Python's splitting or lower-casing and the tokenizer's may differ, and special tokens.
+_ODD = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
+#: Composed Latin letters, and marks that never take part in a contraction.
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[.,;:!?()*#$%&|-]+")
+_WHOLLY_PLAIN = re.compile("(?:[a-z\xdf-\xf6\xf8-\xff]+|[.,;:!?()*#$%&|-]+)+\\Z")
 
 
 class ChunkEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes.
 
-    No token spans white space, so the ids of a text are those of its chunks in
-    turn; chunks met before are not encoded again.
+    The vocabulary ignores case and no token spans white space or the border
+    of letters and other signs, so a text's ids are those of its pieces in
+    turn.  Chunks between white space and their pieces are remembered; the
+    tokenizer sees each new piece once.
     """
 
     def __init__(self, path: str):
@@ -55,24 +62,66 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        #: Whether a token ends a word.
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._encoded([text])[0]
-        chunks = text.split()
-        known = self.known
-        fresh = list({c for c in chunks if c not in known})
+    def _encoded_words(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are one word to the tokenizer: encoded in one go and parted at the tokens that end a word."""
+        if not pieces:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cut = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(cut) != len(pieces):
+            raise ValueError("a piece is not one word of this vocabulary")
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cut], cut)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        # Plain words with plain marks around are cut here; anything else goes to the tokenizer as it is.
+        cut = {c: _PLAIN.findall(c) if _WHOLLY_PLAIN.match(c) else [c] for c in chunks}
+        known = self.pieces
+        fresh = {p for pieces in cut.values() for p in pieces if p not in known}
+        if len(known) + len(fresh) > MEMORY:
+            known.clear()
+            fresh = {p for pieces in cut.values() for p in pieces}
+        plain = [p for p in fresh if _PLAIN.fullmatch(p)]
+        known.update(zip(plain, self._encoded_words(plain)))
+        other = [p for p in fresh if p not in known]
+        known.update(zip(other, self._encoded(other)))
+        self.chunks.update((c, b"".join([known[p] for p in pieces])) for c, pieces in cut.items())
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text in turn; texts are taken in lots, so that many chunks are learnt at once."""
+        lot: list[list[str] | bytes] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            lot.append(self._encoded([text])[0] if _ODD.search(text) else text.lower().split())
+            size += len(text)
+            if size >= LOT_CHARS:
+                yield from self._looked_up(lot)
+                lot, size = [], 0
+        yield from self._looked_up(lot)
+
+    def _looked_up(self, lot: list[list[str] | bytes]) -> Iterator[bytes]:
+        every = [chunks for chunks in lot if isinstance(chunks, list)]
+        fresh = set().union(*every).difference(self.chunks)
+        if fresh and len(self.chunks) + len(fresh) > MEMORY:
+            self.chunks.clear()
+            fresh = set().union(*every)
         if fresh:
-            if len(known) + len(fresh) > MEMORY:
-                known.clear()
-                fresh = list(set(chunks))
-            known.update(zip(fresh, self._encoded(fresh)))
-        return b"".join([known[c] for c in chunks])
+            self._learn(fresh)
+        find = self.chunks.__getitem__
+        for chunks in lot:
+            yield chunks if isinstance(chunks, bytes) else b"".join(map(find, chunks))
 
 
 @lru_cache(maxsize=2)
@@ -90,8 +139,8 @@ def measured(docs: DataFrame, path: str, id_col: str = "doc_id", length: int = L
         own, step = encoder(path), 4 * length
         for batch in batches:
             sizes, crcs = [], []
-            for text in batch.column("text").to_pylist():
-                ids = memoryview(own.encode(text or "") + last)
+            for data in own.encode_all(batch.column("text").to_pylist()):
+                ids = memoryview(data + last)
                 sizes.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[at:at + step]) for at in range(0, len(ids), step)])
             yield pa.RecordBatch.from_arrays(
@@ -113,8 +162,8 @@ def cut_checksums(docs: DataFrame, cuts: DataFrame, path: str, id_col: str = "do
         own = encoder(path)
         for batch in batches:
             out = []
-            for text, pieces in zip(batch.column("text").to_pylist(), batch.column("pieces").to_pylist()):
-                ids = memoryview(own.encode(text or "") + last)
+            for data, pieces in zip(own.encode_all(batch.column("text").to_pylist()), batch.column("pieces").to_pylist()):
+                ids = memoryview(data + last)
                 out.append([p | {"crc": zlib.crc32(ids[4 * p["start"]:4 * (p["start"] + p["length"])])} for p in pieces])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, result)], names=["id", "pieces"])
 

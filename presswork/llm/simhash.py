@@ -70,16 +70,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, fp) of every document, fp as a signed long."""
+    """(id, tk, fp) of every document: fp as a signed long, and a hash of the text to tell rows of one id apart."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             values = np.fromiter((fingerprint(t) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(values.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("tk"), pa.array(values.view(np.int64))], names=[id_col, "tk", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, fp bigint")
+    return docs.select(id_col, F.xxhash64("text").alias("tk"), "text").mapInArrow(run, f"{id_col} {kind}, tk bigint, fp bigint")
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -250,14 +250,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, fp, component_id): the smallest id that links lead to, its own included."""
+    """(id, tk, fp, component_id): the smallest id that links lead to, its own included."""
     each = landed(fingerprints(docs, id_col), "fingerprints")
     distinct = each.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(links(distinct.select("fp")))
     rooted = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(smallest, "root").select("fp", "component_id")
-    return each.join(known, "fp").select(id_col, "fp", "component_id")
+    return each.join(known, "fp").select(id_col, "tk", "fp", "component_id")
 
 
 def simhash_query(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -267,7 +267,11 @@ def simhash_query(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id."""
-    found = near_duplicates(docs, id_col).filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-    ids = found.select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one document of each component: the one with the smallest id.
+
+    Rows repeating an id and its text are one document and stay or go together,
+    and so are rows without an id in a component where none has one.
+    """
+    found = near_duplicates(docs.select(F.col(id_col).alias("_id"), "text"), "_id")
+    kept = found.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id", F.col("tk").alias("_tk")).distinct()
+    return docs.join(kept, (F.xxhash64("text") == F.col("_tk")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")

@@ -35,8 +35,10 @@ SIZES = (1, 2, 3)
 TRAIN_ROWS = 8_000
 ROUNDS = 60
 #: A vote against is so many times as likely on a bad document, a vote for on a good one, at least.
-LEAST_ODDS = (8.0, 2.0)
+LEAST_ODDS = (8.0, 1.25)
 STEPS = 300
+#: Weight of an abstention as evidence.  Defects exclude one another, so not seeing one kind says little about the others.
+ABSTENTION = 0.1
 GOOD = 0.5
 LABELLERS = ("symbols", "capitals", "exclamations", "bars", "length", "repeated_lines", "compression", "line_ends")
 BAD, ABSTAIN, FINE = 0, 1, 2
@@ -85,7 +87,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarra
     m = len(LABELLERS)
     cast = np.stack([patterns // 3 ** (m - 1 - k) % 3 for k in range(m)], axis=1)
     # To begin with, any vote against a document counts against it.
-    good = np.where((cast == BAD).any(axis=1), 0.1, 0.9)
+    good = np.where((cast == BAD).any(axis=1), 0.01, 0.99)
     for _ in range(ROUNDS):
         both = np.stack([counts * (1 - good), counts * good])
         share = (both[1].sum() + 1) / (counts.sum() + 2)
@@ -103,8 +105,7 @@ def posterior(patterns: np.ndarray, share: float, table: np.ndarray) -> np.ndarr
     logs = np.stack([np.full(len(patterns), np.log(1 - share)), np.full(len(patterns), np.log(share))])
     for k in range(m):
         vote = patterns // 3 ** (m - 1 - k) % 3
-        # An abstention is no evidence: defects exclude one another, so seeing none of one kind says little.
-        logs += np.where(vote == ABSTAIN, 0.0, np.log(table[k][:, vote]))
+        logs += np.log(table[k][:, vote]) * np.where(vote == ABSTAIN, ABSTENTION, 1.0)
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 

@@ -1,7 +1,9 @@
 """Registered queries of the training-data operators, and their SQL."""
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,7 +17,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this library where the session was started without it in PYTHONPATH."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    reach_workers(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

@@ -14,27 +14,30 @@ and few of them have a partner, so the cover samples are ranked first:
 3. Each group marks the bytes and cuts.
 
 Scale: texts move once, into groups of about ``GROUP_BYTES``, and all three
-steps read that exchange.  What moves between is sorted, packed keys: about two
-bytes for a sample and twelve for a suffix with a possible partner.  Buckets
+steps read that exchange.  What moves between is sorted, packed keys: about
+three bytes for a sample and ten for a suffix with a possible partner.  Buckets
 and groups are bounded, whatever the number of documents; a passage shared by
 all is one key per group.  Copies of a whole text are found by digest first and
 leave one representative.  Texts over ``SEGMENT`` bytes are cut into segments
 that overlap by a window less a byte, so memory does not follow their length.
 
-Windows are compared by 96 bits of two independent polynomial hashes.
+Windows are compared by two independent polynomial hashes of together as many
+bits as hold the chance of any false match in the whole corpus below 2 ** -20.
 
 Edge cases: a null text is empty; rows of one id do not remove from each other;
 a null id counts as larger than all others; texts shorter than a window lose
-nothing unless ... they hold none, so nothing; an empty table gives no rows.
+nothing; an empty table gives no rows.
 """
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+import math
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 WINDOW = 50
 #: A difference cover: every distance modulo PERIOD lies between two of COVER.
@@ -53,6 +56,25 @@ SAMPLES, COPIES, SUFFIXES, MARKS = 0, 1, 2, 3
 
 # ------------------------------------------------------------- packed numbers
 
+@lru_cache(maxsize=1)
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def packed(sorted_values: np.ndarray) -> bytes:
     """Differences of sorted unsigned numbers, byte plane by byte plane: high planes are mostly zero and compress away."""
     steps = np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
@@ -89,9 +111,9 @@ class Hasher:
     def __init__(self, buffer: np.ndarray, salt: int):
         table, base, self.inverse = _hash_parameters(salt)
         self.size = 1 << max(16, int(len(buffer)).bit_length())
-        sums = table[buffer]
-        sums *= _powers(base, self.size)[:len(buffer)]
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(sums, dtype=np.uint64)])
+        self.sums = np.zeros(len(buffer) + 1, np.uint64)
+        np.multiply(table[buffer], _powers(base, self.size)[:len(buffer)], out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
 
     def at(self, places: np.ndarray, length: int) -> np.ndarray:
         x = self.sums[places + length] - self.sums[places]
@@ -101,6 +123,21 @@ class Hasher:
         return x ^ (x >> np.uint64(29))
 
 
+def check_bytes(total: int) -> int:
+    """Bytes of the second hash that keep a false match anywhere among ``total`` windows below 2 ** -20."""
+    return int(min(8, max(2, -(-(2 * math.log2(max(2, total)) + 20 - 64) // 8))))
+
+
+def _low_bytes(values: np.ndarray, width: int) -> bytes:
+    return values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _from_low_bytes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
@@ -117,15 +154,17 @@ class Group:
         rows = sorted(range(len(ids)), key=lambda r: (ids[r], tks[r], segs[r]))
         self.rows = [r for r in rows if (ids[r], tks[r]) not in copies]
         self.copied = [r for r in rows if (ids[r], tks[r]) in copies]
-        data = [parts[r].as_py() or b"" for r in self.rows]
+        lengths = table.column("size").to_pylist()
+        data = [_codec().decompress(parts[r].as_buffer(), lengths[r], asbytes=True) if lengths[r] else b"" for r in self.rows]
         self.buffer = np.frombuffer(b"".join(data), np.uint8)
         self.sizes = np.array([len(d) for d in data], np.int64)
         self.ends = np.cumsum(self.sizes)
         self.ids = np.array([ids[r] for r in self.rows], np.int64)
 
+    @cached_property
     def room(self) -> np.ndarray:
         """Bytes from each place to its segment's end."""
-        return np.repeat(self.ends, self.sizes) - np.arange(len(self.buffer))
+        return np.repeat(self.ends.astype(np.int32), self.sizes) - np.arange(len(self.buffer), dtype=np.int32)
 
     def owner(self, places: np.ndarray) -> np.ndarray:
         """Document ids at places."""
@@ -136,7 +175,7 @@ class Group:
         size = len(self.buffer)
         grid = (np.arange(0, size, PERIOD)[:, None] + np.array(COVER)).ravel()
         grid = grid[grid < size]
-        grid = grid[self.room()[grid] >= KEY]
+        grid = grid[self.room[grid] >= KEY]
         keys = Hasher(self.buffer, 0).at(grid, KEY)
         return grid, _bucket(keys, n_buckets) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
 
@@ -146,14 +185,22 @@ class Group:
         turns = np.zeros(size + 1, np.int32)
         np.add.at(turns, np.maximum(places - PERIOD + 1, 0), 1)
         np.add.at(turns, places + 1, -1)
-        return np.flatnonzero((np.cumsum(turns[:-1]) > 0) & (self.room() >= WINDOW))
+        return np.flatnonzero((np.cumsum(turns[:-1]) > 0) & (self.room >= WINDOW))
 
 
 class Suffixes:
-    """Window starts sorted by (window, document)."""
-
-    def __init__(self, group: Group, starts: np.ndarray):
-        a, b = Hasher(group.buffer, 1).at(starts, WINDOW), Hasher(group.buffer, 2).at(starts, WINDOW).astype(np.uint32)
+    """Window starts (ascending) sorted by (window, document)."""
+
+    def __init__(self, group: Group, starts: np.ndarray, width: int):
+        # Only the bytes of the runs of starts are hashed.
+        first = np.flatnonzero(np.r_[True, np.diff(starts) != 1])
+        size = np.diff(np.r_[first, len(starts)])
+        spans = size + WINDOW - 1
+        begin = np.cumsum(spans) - spans
+        bytes_at = np.repeat(starts[first] - begin, spans) + np.arange(spans.sum())
+        buffer, places = group.buffer[bytes_at], np.arange(len(starts)) + np.repeat(begin - first, size)
+        a, b = Hasher(buffer, 1).at(places, WINDOW), Hasher(buffer, 2).at(places, WINDOW)
+        b &= np.uint64((1 << 8 * width) - 1)
         owner = group.owner(starts)
         order = np.lexsort((owner, b, a))
         self.starts, self.a, self.b, self.owner = starts[order], a[order], b[order], owner[order]
@@ -197,7 +244,7 @@ def sample_step(n_buckets: int):
     def run(docs: pa.Table, messages: pa.Table) -> pa.Table:
         copies, g = _copies(messages), _g(docs, messages)
         _, keys = Group(docs, copies).samples(n_buckets)
-        keys = np.unique(keys)
+        keys = _distinct(keys)
         cut = np.searchsorted(keys >> np.uint64(32), np.arange(n_buckets + 1, dtype=np.uint64))
         low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         rows = [(b, g, SAMPLES, b"", packed(low[cut[b]:cut[b + 1]])) for b in np.flatnonzero(np.diff(cut)).tolist()]
@@ -215,44 +262,39 @@ def shared_samples(messages: pa.Table) -> pa.Table:
     sets = [(s, unpacked(b, np.uint32)) for s, k, b in zip(sources, kinds, bodies) if k == SAMPLES]
     if len(sets) > 1:
         merged = np.sort(np.concatenate([x for _, x in sets]))
-        shared = np.unique(merged[1:][merged[1:] == merged[:-1]])
-        if len(shared):
-            for source, own in sets:
-                at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
-                if len(hit := own[shared[at] == own]):
-                    out.append((source, dest, SAMPLES, b"", packed(hit)))
+        shared = _distinct(merged[1:][merged[1:] == merged[:-1]])
+        for source, own in sets:
+            if len(hit := own[_among(own, shared)]):
+                out.append((source, dest, SAMPLES, b"", packed(hit)))
     return _messages(out)
 
 
-def suffix_step(n_sample_buckets: int, n_buckets: int):
+def suffix_step(n_sample_buckets: int, n_buckets: int, width: int):
     def run(docs: pa.Table, messages: pa.Table) -> pa.Table:
         copies, g = _copies(messages), _g(docs, messages)
         group = Group(docs, copies)
         places, keys = group.samples(n_sample_buckets)
-        hot = np.zeros(len(keys), bool)
         # Keys that two documents of this group have.
-        order = np.argsort(keys)
-        sorted_keys, owner = keys[order], group.owner(places)[order]
-        equal = sorted_keys[1:] == sorted_keys[:-1]
-        mixed = np.unique(sorted_keys[1:][equal & (owner[1:] != owner[:-1])])
+        ordered = np.sort(keys)
+        twice = np.flatnonzero(_among(keys, _distinct(ordered[1:][ordered[1:] == ordered[:-1]])))
+        twice = twice[np.argsort(keys[twice])]
+        own, owner = keys[twice], group.owner(places[twice])
+        mixed = own[1:][(own[1:] == own[:-1]) & (owner[1:] != owner[:-1])]
         told = [unpacked(b, np.uint32).astype(np.uint64) | np.uint64(s << 32) for s, k, b in zip(
             messages.column("src").to_pylist(), messages.column("kind").to_pylist(), messages.column("body").to_pylist()) if k == SAMPLES]
-        known = np.unique(np.concatenate([mixed, *told]))
-        if len(known):
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hot = known[at] == keys
+        hot = _among(keys, _distinct(np.concatenate([mixed, *told])))
         starts = group.candidates(places[hot])
         rows = []
         if len(starts):
-            found = Suffixes(group, starts)
-            ids, rank = np.unique(found.owner[found.heads], return_inverse=True)
+            found = Suffixes(group, starts, width)
             buckets, cut = found.bounds(n_buckets)
-            wide = rank.astype(np.uint16 if len(ids) <= 65_536 else np.uint32)
             for b, i, j in zip(buckets.tolist(), cut[:-1], cut[1:]):
                 heads = found.heads[i:j]
-                own, local = np.unique(wide[i:j], return_inverse=True)
-                body = packed(found.a[heads]) + found.b[heads].tobytes() + local.astype(wide.dtype).tobytes()
-                rows.append((b, g, SUFFIXES, ids[own].tobytes(), body))
+                ids, rank = np.unique(found.owner[heads], return_inverse=True)
+                planes = rank.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                body = packed(found.a[heads]) + _low_bytes(found.b[heads], width) + planes
+                head = np.array([j - i, len(ids)], np.int64).tobytes()
+                rows.append((b, g, SUFFIXES, head, _codec().compress(body + packed(ids.view(np.uint64)), asbytes=True)))
             first = np.flatnonzero(np.r_[True, np.diff(starts) != 1])
             runs = np.stack([starts[first], np.diff(np.r_[first, len(starts)])])
             rows.append((-1 - g, g, MARKS, b"", runs.astype(np.int64).tobytes()))
@@ -263,7 +305,7 @@ def suffix_step(n_sample_buckets: int, n_buckets: int):
     return run
 
 
-def earliest_suffixes(messages: pa.Table) -> pa.Table:
+def earliest_suffixes(messages: pa.Table, width: int) -> pa.Table:
     """Sort one bucket of suffixes; tell each group which of its windows a document before its own first has."""
     sources, kinds = messages.column("src").to_pylist(), messages.column("kind").to_pylist()
     dest, heads, bodies = messages.column("dest")[0].as_py(), messages.column("head").to_pylist(), messages.column("body").to_pylist()
@@ -272,14 +314,11 @@ def earliest_suffixes(messages: pa.Table) -> pa.Table:
     for s, k, head, body in zip(sources, kinds, heads, bodies):
         if k != SUFFIXES:
             continue
-        ids = np.frombuffer(head, np.int64)
-        width = 2 if len(ids) <= 65_536 else 4
-        n = len(body) // (12 + width)
-        if n * (12 + width) != len(body):
-            width = 6 - width
-            n = len(body) // (12 + width)
-        local = np.frombuffer(body[12 * n:], np.uint16 if width == 2 else np.uint32)
-        parts.append((s, unpacked(body[:8 * n], np.uint64), np.frombuffer(body[8 * n:12 * n], np.uint32), ids[local]))
+        n, n_ids = np.frombuffer(head, np.int64).tolist()
+        body = _codec().decompress(body, (12 + width) * n + 8 * n_ids, asbytes=True)
+        ids = unpacked(body[(12 + width) * n:], np.uint64).view(np.int64)
+        rank = np.frombuffer(body[(8 + width) * n:(12 + width) * n], np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+        parts.append((s, unpacked(body[:8 * n], np.uint64), _from_low_bytes(body[8 * n:(8 + width) * n], width), ids[rank]))
     if len(parts) > 1:
         a, b, ids = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
         order = np.lexsort((ids, b, a))
@@ -302,7 +341,7 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def cut_step(n_buckets: int, keep: pa.Schema, with_text: bool):
+def cut_step(n_buckets: int, width: int, keep: pa.Schema, with_text: bool):
     """Rows (columns of ``keep``, n_bytes, n_removed, n_spans, kept_sha256, text, tk, spans) of whole texts; segments give spans."""
     def run(docs: pa.Table, messages: pa.Table) -> pa.Table:
         copies = _copies(messages)
@@ -314,7 +353,7 @@ def cut_step(n_buckets: int, keep: pa.Schema, with_text: bool):
                 continue
             first, size = np.frombuffer(body, np.int64).reshape(2, -1)
             starts = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            found = Suffixes(group, starts)
+            found = Suffixes(group, starts, width)
             late = np.zeros(len(found.heads), bool)
             buckets, cut = found.bounds(n_buckets)
             place = {b: (i, j) for b, i, j in zip(buckets.tolist(), cut[:-1].tolist(), cut[1:].tolist())}
@@ -339,7 +378,7 @@ def cut_step(n_buckets: int, keep: pa.Schema, with_text: bool):
             n = sizes[r]
             # A copy's windows all start in its original; below a window's size it has none.
             whole = n >= WINDOW
-            data = b"" if whole else docs.column("part")[r].as_py() or b""
+            data = b"" if whole or not n else _codec().decompress(docs.column("part")[r].as_buffer(), n, asbytes=True)
             if docs.column("seg")[r].as_py() == 0:
                 add(r, n, n if whole else 0, int(whole), hashlib.sha256(data).hexdigest(),
                     data.decode("utf-8", "ignore") if with_text else None, None, [], [])
@@ -396,6 +435,17 @@ def _finish_long(pieces: DataFrame, docs: DataFrame, with_text: bool) -> DataFra
     return met.mapInArrow(run, f"{fields}, _n_bytes bigint, _n_removed bigint, _n_spans bigint, _kept_sha256 string, _text string")
 
 
+def _squeeze(batches):
+    """Compress the texts before they move; their sizes go along."""
+    for batch in batches:
+        at = batch.schema.get_field_index("part")
+        parts = batch.column(at)
+        sizes = pa.array([len(x) for x in parts.to_pylist()], pa.int64())
+        small = pa.array([_codec().compress(x.as_buffer(), asbytes=True) if n else b"" for x, n in zip(parts, sizes.to_pylist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[small if k == at else c for k, c in enumerate(batch.columns)], sizes],
+                                         names=[*batch.schema.names, "size"])
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Per row: id, tk, ``carry`` columns, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, the text that is left."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -428,17 +478,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", carry: tuple[str, ...]
     copies = pairs.mapInArrow(note, MESSAGE)
     cut = named.select("*", F.octet_length("data").cast("long").alias("n"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0), segments - 1)).alias("seg"))
-    parts = cut.select(group.alias("g"), "id", "tk", "seg", "n", *[f"c_{c}" for c in carry],
+    plain = cut.select(group.alias("g"), "id", "tk", "seg", "n", *[f"c_{c}" for c in carry],
                        F.substring("data", F.col("seg") * SEGMENT + 1, F.lit(SEGMENT + WINDOW - 1)).alias("part"))
+    parts = plain.mapInArrow(_squeeze, StructType([*plain.schema.fields, StructField("size", LongType())]))
+    width = check_bytes(total)
 
     def step(messages: DataFrame, fn, schema: str) -> DataFrame:
         return parts.groupBy("g").cogroup(messages.groupBy("dest")).applyInArrow(fn, schema)
 
     sampled = step(copies, sample_step(n_sample_buckets), MESSAGE).groupBy("dest").applyInArrow(shared_samples, MESSAGE)
-    suffixes = step(sampled, suffix_step(n_sample_buckets, n_groups), MESSAGE).groupBy("dest").applyInArrow(earliest_suffixes, MESSAGE)
+    suffixes = step(sampled, suffix_step(n_sample_buckets, n_groups, width), MESSAGE).groupBy("dest").applyInArrow(
+        lambda messages: earliest_suffixes(messages, width), MESSAGE)
     kept = parts.select("id", "tk", *[f"c_{c}" for c in carry])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    made = step(suffixes, cut_step(n_groups, to_arrow_schema(kept.schema), with_text), f"{schema}, {_RESULT}")
+    made = step(suffixes, cut_step(n_groups, width, to_arrow_schema(kept.schema), with_text), f"{schema}, {_RESULT}")
     columns = ["id", "tk", *[f"c_{c}" for c in carry], "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_text"]
     whole = made.filter(F.col("_part_of").isNull()).select(*columns)
     longer = named.filter(F.octet_length("data") > SEGMENT + WINDOW - 1)

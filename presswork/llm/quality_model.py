@@ -34,11 +34,11 @@ DIMS = 1024
 SIZES = (1, 2, 3)
 TRAIN_ROWS = 8_000
 ROUNDS = 60
-#: A vote against is so many times as likely on a bad document, a vote for on a good one, at least.
+#: Prior belief: a vote against is so many times as likely on a bad document, a vote for on a good one, at least.
 LEAST_ODDS = (8.0, 1.25)
 STEPS = 300
 #: Weight of an abstention as evidence.  Defects exclude one another, so not seeing one kind says little about the others.
-ABSTENTION = 0.1
+ABSTENTION = 0.2
 GOOD = 0.5
 LABELLERS = ("symbols", "capitals", "exclamations", "bars", "length", "repeated_lines", "compression", "line_ends")
 BAD, ABSTAIN, FINE = 0, 1, 2
@@ -82,20 +82,20 @@ def pattern(text: str | None) -> int:
     return code
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, least_odds: tuple[float, float] = LEAST_ODDS) -> tuple[float, np.ndarray]:
     """Share of good documents, and table[labeller, class, vote] of vote probabilities, by expectation-maximisation."""
     m = len(LABELLERS)
     cast = np.stack([patterns // 3 ** (m - 1 - k) % 3 for k in range(m)], axis=1)
-    # To begin with, any vote against a document counts against it.
-    good = np.where((cast == BAD).any(axis=1), 0.01, 0.99)
+    # To begin with, one vote against weighs as much as three for a document.
+    good = np.where((cast == FINE).sum(axis=1) < 3 * (cast == BAD).sum(axis=1), 0.01, 0.99)
     for _ in range(ROUNDS):
         both = np.stack([counts * (1 - good), counts * good])
         share = (both[1].sum() + 1) / (counts.sum() + 2)
         table = np.stack([[np.bincount(cast[:, k], both[c], 3) + 1.0 for c in (0, 1)] for k in range(m)])
         table /= table.sum(axis=2, keepdims=True)
         # Labellers are better than chance; without this the classes could trade places.
-        table[:, 1, BAD] = np.minimum(table[:, 1, BAD], table[:, 0, BAD] / LEAST_ODDS[0])
-        table[:, 0, FINE] = np.minimum(table[:, 0, FINE], table[:, 1, FINE] / LEAST_ODDS[1])
+        table[:, 1, BAD] = np.minimum(table[:, 1, BAD], table[:, 0, BAD] / least_odds[0])
+        table[:, 0, FINE] = np.minimum(table[:, 0, FINE], table[:, 1, FINE] / least_odds[1])
         good = posterior(patterns, share, table)
     return float(share), table
 

@@ -190,7 +190,7 @@ def test_estimates_recover_accuracies():
         cast = np.where(good == (rng.random(len(good)) < right[k]), quality_model.FINE, quality_model.BAD)
         votes[:, k] = np.where(rng.random(len(good)) < 0.3, quality_model.ABSTAIN, cast)
     codes, counts = np.unique(votes @ 3 ** np.arange(m - 1, -1, -1), return_counts=True)
-    share, table = quality_model.estimate(codes, counts.astype(float))
+    share, table = quality_model.estimate(codes, counts.astype(float), (2.0, 1.25))
     assert abs(share - 0.8) < 0.05
     shares = table[:, :, quality_model.FINE] / (1 - table[:, :, quality_model.ABSTAIN])
     assert np.allclose(shares[:, 1], right, atol=0.06)

@@ -31,7 +31,9 @@ from presswork.plans.collect import article_rows, union_sources, with_host  # no
 from presswork.session import durable, fresh_path, spread  # noqa: E402
 from presswork.sinks import store  # noqa: E402
 from presswork.sources.links import anchor_links  # noqa: E402
-from presswork.sources.pages import cap_per_source, drop_seen, load_seen, read_pages, with_fallback  # noqa: E402
+from presswork.sources.pages import (
+    cap_per_source, drop_seen, from_exchange, load_seen, read_articles_json, read_pages, with_fallback,
+)  # noqa: E402
 from presswork.sources.registry import Source, invalid_sources, lookup_sources, registry_frame, with_source  # noqa: E402
 from presswork.streaming import ingest, state  # noqa: E402
 
@@ -328,6 +330,27 @@ def dedupe_verdicts(spark, sf):
         "doc_id", "is_duplicate", "reason", "similarity", "matched")
 
 
+def failure_streaks(spark, sf):
+    return _ntz(_ntz(health.failure_streaks(_log(spark, sf)), "started_at"), "ended_at")
+
+
+def json_round_trip(spark, sf):
+    """Articles as exported and read again."""
+    path = fresh_path(spark, "export")
+    store.export_json(_articles_spread(spark, sf), path, _run_ts(), P["doc_sources"])
+    return from_exchange(read_articles_json(spark, f"{path}/articles")).select(
+        "news_id", "source", "url", "title", F.md5("content").alias("content_md5"), "quality_score", "extraction_strategy", "published_date")
+
+
+def export_metadata(spark, sf):
+    """The one row that describes an export, its maps flattened."""
+    meta = store.export_metadata(_articles(spark, sf), _run_ts(), P["doc_sources"])
+    return meta.select(
+        "total_articles", F.col("quality_distribution.*"), F.size("sources_processed").alias("n_sources"),
+        F.array_join(F.array_sort(F.transform(F.map_entries("source_breakdown"), lambda e: F.concat(
+            e["key"], F.lit("="), e["value"].cast("string")))), ",").alias("breakdown"))
+
+
 def duplicate_counts(spark, sf):
     return dd.duplicate_counts(dedupe_verdicts(spark, sf))
 
@@ -339,7 +362,7 @@ def _sim_texts(spark, sf) -> DataFrame:
 
 def tfidf_stored_match(spark, sf):
     texts = _sim_texts(spark, sf)
-    vec = durable(tfidf_vectors(texts, "doc_id", "sim_text", "source", P["stop_words"]))
+    vec = durable(tfidf_vectors(texts, "doc_id", "sim_text", "source", P["stop_words"], max_features=5000))
     kept = windows.comparison_set(texts.select("doc_id", "source", "created_at"), tie="doc_id")
     stored = kept.select(F.col("source").alias("grp"), F.col("doc_id").alias("key"))
     found = best_stored_match(vec, stored, P["tfidf_threshold"])
@@ -553,6 +576,9 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "unseen_pages": unseen_pages,
         "fallback_rows": fallback_rows,
         "articles_union": articles_union,
+        "failure_streaks": failure_streaks,
+        "json_round_trip": json_round_trip,
+        "export_metadata": export_metadata,
         "csv_export_rows": lambda s, d: store.csv_frame(_articles(s, d)),
         "insertable_articles": insertable_articles,
         "stored_metric_rows": stored_metric_rows,

@@ -317,6 +317,16 @@ def statements() -> dict[str, str]:
         "fallback_rows": f"{A} SELECT title, quality_score FROM articles",
         "articles_union": f"""WITH {DOC_ARTICLES}, {QUICK} SELECT url, title, quality_score FROM articles
             UNION ALL SELECT url, title, quality_score FROM quick""",
+        "json_round_trip": f"""{A} SELECT news_id, source, url, title, md5(content) AS content_md5, quality_score, extraction_strategy,
+            published_date FROM articles""",
+        "export_metadata": f"{A} SELECT count(*) AS total_articles, " + ", ".join(
+            f"""count(*) FILTER (WHERE {tier('quality_score', "'poor'")} = '{t}') AS {t}""" for t in ("excellent", "good", "fair", "poor"))
+            + f""", {len(P['doc_sources'])}::INTEGER AS n_sources,
+            (SELECT string_agg(source || '=' || n, ',' ORDER BY source || '=' || n) FROM (
+              SELECT coalesce(source, 'Unknown') AS source, count(*)::VARCHAR AS n FROM documents GROUP BY 1)) AS breakdown FROM articles""",
+        "failure_streaks": """WITH e AS (SELECT user_id::VARCHAR AS source, ts, event_type <> 'error' AS ok, event_id FROM events),
+            c AS (SELECT *, sum(ok::INTEGER) OVER (PARTITION BY source ORDER BY ts, event_id) AS wins FROM e)
+            SELECT source, count(*) AS n_failures, min(ts) AS started_at, max(ts) AS ended_at FROM c WHERE NOT ok GROUP BY source, wins""",
         "csv_export_rows": f"""{A} SELECT news_id, source, url, title, ai_summary, published_date, quality_score, created_at
             FROM articles ORDER BY created_at DESC, news_id""",
         "insertable_articles": f"""WITH {KEYED}, st AS (SELECT * FROM keyed WHERE lang = '{P['stored_lang']}')

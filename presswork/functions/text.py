@@ -96,11 +96,13 @@ def key_phrases(c: Column | str, n: int = 10) -> Column:
     return bind(words(c), pairs)
 
 
-def fingerprint(title: Column | str, content: Column | str, url: Column | str) -> Column:
+def fingerprint(title: Column | str, content: Column | str, url: Column | str, length: int | None = 2000) -> Column:
+    """Hash of title, opening and path; ``length`` None takes the whole content."""
+    body = text_or_empty(content) if length is None else F.substring(text_or_empty(content), 1, length)
     return F.sha2(
         F.concat(
             F.lit("T:"), normalize_text(title),
-            F.lit("|C:"), normalize_text(F.substring(text_or_empty(content), 1, 2000)),
+            F.lit("|C:"), normalize_text(body),
             F.lit("|U:"), url_path(url),
         ),
         256,
@@ -143,10 +145,10 @@ def is_boilerplate(c: Column | str) -> Column:
     return contains_any(F.lower(text_or_empty(c)), fixed.BOILERPLATE_PHRASES)
 
 
-def similarity_text(title: Column | str, content: Column | str) -> Column:
-    return normalize_text(
-        F.concat(text_or_empty(title), F.lit(" "), F.substring(text_or_empty(content), 1, 1000))
-    )
+def similarity_text(title: Column | str, content: Column | str, length: int | None = 1000) -> Column:
+    """Text that similarity compares; ``length`` None takes the whole content."""
+    body = text_or_empty(content) if length is None else F.substring(text_or_empty(content), 1, length)
+    return normalize_text(F.concat(text_or_empty(title), F.lit(" "), body))
 
 
 def title_or_link(title: Column | str, link_title: Column | str) -> Column:

@@ -55,6 +55,21 @@ def success_rate(log: DataFrame, source: str = "source", ts: str = "ts", tie: st
         source, F.coalesce("rate", F.lit(1.0)).alias("success_rate"))
 
 
+# ------------------------------------------------------- failure streaks
+
+def failure_streaks(log: DataFrame, source: str = "source", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Runs of failures without a success between them: source, length, first and last time.
+
+    Failures with equally many successes before them are one run, so a
+    two-level running count and one aggregation find all of them.
+    """
+    at = micros(ts)
+    rows = log.select(source, ts, at.alias("at"), F.col(tie).alias("tie"), F.col("ok").cast("long").alias("won"))
+    counted = running_total(rows, [source], [F.asc("at"), F.asc("tie")], _day(F.col("at")), F.col("won"), "wins_before", before=True)
+    return counted.filter("won = 0").groupBy(source, "wins_before").agg(
+        F.count(F.lit(1)).alias("n_failures"), F.min(ts).alias("started_at"), F.max(ts).alias("ended_at")).drop("wins_before")
+
+
 # ------------------------------------------------------- ordered replay
 
 def _stretches(df: DataFrame, key: str, ts: str, tie: str, reset: Callable[[Column, Column], Column]) -> DataFrame:

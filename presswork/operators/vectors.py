@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed_values import SIMILARITY_THRESHOLD
+from ..functions.text import bind, once
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -15,8 +16,8 @@ def _dot(a: Column, b: Column) -> Column:
 def unit(vector: Column | str) -> Column:
     """The vector as doubles of length one; a zero vector stays zero."""
     v = F.col(vector) if isinstance(vector, str) else vector
-    norm = F.sqrt(_dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    return bind(F.sqrt(_dot(v, v)), lambda norm: F.transform(
+        v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0))))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -48,7 +49,7 @@ def first_stored_match(
     )
     hit = F.get(F.filter("scored", lambda s: (s["similarity"] > F.lit(float(threshold))) & (s["matched"] != F.col("key"))), F.lit(0))
     return (
-        scored.withColumn("hit", hit).filter(F.col("hit").isNotNull())
+        scored.select("key", "grp", once(hit).alias("hit")).filter(F.col("hit").isNotNull())
         .select(F.col("grp").alias(group), F.col("key").alias(key), F.col("hit.matched").alias("matched"),
                 F.col("hit.similarity").alias("similarity"))
     )

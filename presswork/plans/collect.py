@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.fixed_values import DUPLICATE_REASONS
 from ..functions.summary import extractive_summary
 from ..functions.text import article_id, fingerprint, published_ts, similarity_text, title_hash
 from ..functions.urls import url_host
@@ -45,12 +46,14 @@ def article_rows(extracted: DataFrame, run_ts: Column) -> DataFrame:
 def collect_run(
     pages: DataFrame, run_ts: Column, order: str = "page_id", stored: DataFrame | None = None,
     sources: Sequence[Source] = SOURCES, near_copies: bool = False, stop_words: Sequence[str] = (),
+    stored_keys: Sequence[str] = ("content_fingerprint",),
 ) -> Run:
     """Pages to new articles: skip known URLs, extract, gate, drop duplicates, summarise.
 
     ``order`` (a unique long) is the order of arrival; it decides which copy is
     kept.  With ``near_copies`` texts above the TF-IDF cosine threshold count
-    as duplicates too.
+    as duplicates too.  ``stored_keys`` are the keys that, besides the URL, a
+    stored article blocks.
     """
     if stored is not None:
         pages = drop_seen(pages, stored, "url")     # before the parse: a known page is never opened
@@ -59,15 +62,25 @@ def collect_run(
     # The parse is the costly step and is read several times below.
     extracted = durable(extract_articles(placed, sources).withColumn(
         "source", F.coalesce("source", "host")))
-    rows = durable(article_rows(gate(extracted), run_ts))
+    arrived = rows = durable(article_rows(gate(extracted), run_ts))
+    known = []
     if stored is not None:
-        rows = drop_seen(rows, stored, "content_fingerprint")
+        # Rows that repeat a stored article are duplicates with a verdict like any other.
+        for key in stored_keys:
+            fresh = durable(drop_seen(rows, stored, key))
+            reason, score = DUPLICATE_REASONS[KEYS.index(key)]
+            known.append(rows.select(order).join(fresh.select(order), order, "left_anti").select(
+                order, F.lit(True).alias("is_duplicate"), F.lit(reason).alias("reason"), F.lit(float(score)).alias("similarity"),
+                F.lit(None).cast("long").alias("matched")))
+            rows = fresh
     similar = None
     if near_copies:
-        texts = rows.select(order, "source", similarity_text("title", "content").alias("sim_text"))
+        texts = rows.select(order, "source", similarity_text("title", "content", None).alias("sim_text"))
         similar = tfidf_similar(texts, order, "sim_text", "source", stop_words=stop_words)
     verdicts = durable(dedupe(rows, order, KEYS, similar=similar, **(
         {"pair_bound": similar.pair_bound} if similar else {})))
+    if known:
+        verdicts = durable(verdicts.unionByName(arrived.join(union_sources(known), order)))
     articles = (
         verdicts.filter(~F.col("is_duplicate"))
         .drop("is_duplicate", "reason", "similarity", "matched")

@@ -13,7 +13,7 @@ PAGE = _struct(page_id=_L, url=_S, html=_S)
 ARTICLE = _struct(
     news_id=_S, source=_S, url=_S, title=_S, content=_S, description=_S, author=_S, published_date=_S,
     image_url=_S, ai_summary=_S, quality_score=_D, content_fingerprint=_S, extraction_strategy=_S,
-    created_at=_TS, created_date=T.DateType(),
+    created_at=_TS, title_hash=_S, created_date=T.DateType(),
 )
 
 ARTICLE_METADATA = _struct(

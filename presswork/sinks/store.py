@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.dedupe import keep_order
 from ..operators.reports import quality_columns
-from ..schemas import ARTICLE, EXTRACTION_METRIC, RUN, STATUS
+from ..schemas import ARTICLE, EXTRACTION_METRIC, FALLBACK_ARTICLE, RUN, STATUS
 from ..session import durable
 from ..sources.pages import drop_seen
 
@@ -15,7 +15,6 @@ UNIQUE_KEYS = ["news_id", "url", "content_fingerprint"]
 CSV_COLUMNS = [
     "news_id", "source", "url", "title", "ai_summary", "published_date", "quality_score", "created_at",
 ]
-COMPRESS_ABOVE = 100
 
 
 def insertable(
@@ -104,11 +103,22 @@ def export_metadata(articles: DataFrame, run_ts: Column, sources: Sequence[str],
     )
 
 
+def exchange_rows(articles: DataFrame, run_ts: Column) -> DataFrame:
+    """Stored articles with the column names that exchanged files have."""
+    return articles.select(
+        "news_id", F.col("source").alias("news_source"), F.col("url").alias("source_url"), F.col("title").alias("news_title"),
+        F.col("content").alias("news_content"), "description", "author", F.col("published_date").alias("news_published_date"), "image_url",
+        F.struct(
+            F.col("extraction_strategy"), F.col("quality_score"), F.lit(None).cast("double").alias("confidence_score"),
+            F.length("content").cast("long").alias("content_length"), F.date_format(run_ts, "yyyy-MM-dd'T'HH:mm:ss").alias("scraped_at"),
+        ).alias("metadata"),
+        "ai_summary").select([f.name for f in FALLBACK_ARTICLE.fields])
+
+
 def export_json(
     articles: DataFrame, path: str, run_ts: Column, sources: Sequence[str], metrics: Column | None = None,
+    compression: str = "gzip",
 ) -> None:
-    """``articles/`` and a one-row ``metadata/``; gzip for more than 100 articles."""
-    many = articles.limit(COMPRESS_ABOVE + 1).count() > COMPRESS_ABOVE
-    codec = "gzip" if many else "none"
-    articles.write.mode("overwrite").option("compression", codec).json(f"{path}/articles")
+    """``articles/``, one exchanged article per line, and a one-row ``metadata/``."""
+    exchange_rows(articles, run_ts).write.mode("overwrite").option("compression", compression).json(f"{path}/articles")
     export_metadata(articles, run_ts, sources, metrics).write.mode("overwrite").json(f"{path}/metadata")

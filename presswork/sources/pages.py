@@ -18,9 +18,21 @@ def stream_pages(spark: SparkSession, path: str, glob: str = "*.parquet", files_
     )
 
 
-def read_articles_json(spark: SparkSession, path: str) -> DataFrame:
-    """Exported or fallback articles: one JSON array or object per file, or one object per line."""
-    return spark.read.schema(FALLBACK_ARTICLE).option("multiLine", True).json(path)
+def read_articles_json(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Exported or fallback articles, one JSON object per line.
+
+    With ``whole_files`` each file is one array or object, read by one task.
+    """
+    return spark.read.schema(FALLBACK_ARTICLE).option("multiLine", whole_files).json(path)
+
+
+def from_exchange(rows: DataFrame) -> DataFrame:
+    """Exchanged articles with the column names of the store."""
+    return rows.select(
+        "news_id", F.col("news_source").alias("source"), F.col("source_url").alias("url"), F.col("news_title").alias("title"),
+        F.col("news_content").alias("content"), "description", "author", F.col("news_published_date").alias("published_date"),
+        "image_url", "ai_summary", F.col("metadata.quality_score").alias("quality_score"),
+        F.col("metadata.extraction_strategy").alias("extraction_strategy"))
 
 
 def load_seen(articles: DataFrame) -> DataFrame:
@@ -55,22 +67,18 @@ def cap_per_source(links: DataFrame, n: int, source: str = "source", order: str
     return top_rows(links, [source], [F.col(order), F.col("url")], n)
 
 
-# Spark's own group limit applies up to this rank (spark.sql.optimizer.windowGroupLimitThreshold).
-_GROUP_LIMIT = 1000
-
-
 def top_rows(df: DataFrame, keys: list[str], order: list, n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows per key.
 
-    Up to 1,000 rows Spark trims each task's groups before the shuffle.  Above
-    that the trim is done here over salted sub-groups, so no task sorts a
-    whole large group either way.
+    Groups are trimmed in salted parts first, so no task sorts a whole large
+    group, whatever ``n`` is.
     """
     from pyspark.sql import Window
 
     name = rank or "_rank"
-    if n > _GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(64)))
+    # Spark itself trims each task's groups before the shuffle up to this rank only.
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]), F.lit(64)))
         inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_rank", F.row_number().over(inner)).filter(F.col("_rank") <= n).drop("_rank", "_salt")
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)

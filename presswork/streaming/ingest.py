@@ -39,7 +39,8 @@ def ingest_pages(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = stored_batches(spark, path, before=batch_id)
-        run = collect_run(batch, run_ts, order, stored, sources)
+        # The stream is one run: titles are remembered over its batches as they are within one.
+        run = collect_run(batch, run_ts, order, stored, sources, stored_keys=("title_hash", "content_fingerprint"))
         (
             run.articles.select(*[F.col(f.name).cast(f.dataType) for f in ARTICLE.fields])
             .write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

@@ -10,7 +10,7 @@ from presswork.operators import health, reports, search as srch
 from presswork.plans.collect import collect_run
 from presswork.schemas import ARTICLE, FALLBACK_ARTICLE, PAGE, REQUEST, SOURCE_LOG
 from presswork.sinks import store
-from presswork.sources.pages import drop_seen, read_articles_json, stream_pages, with_fallback
+from presswork.sources.pages import drop_seen, from_exchange, read_articles_json, stream_pages, top_rows, with_fallback
 from presswork.sources.registry import choose_sources, invalid_sources
 from presswork.streaming import ingest, state
 
@@ -137,9 +137,11 @@ def test_exports(spark, tmp_path):
     store.export_csv(df, str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.columns == store.CSV_COLUMNS and back.count() == 101
-    for n, suffix in ((101, ".json.gz"), (100, ".json")):
+    for n, codec, suffix in ((101, "gzip", ".json.gz"), (100, "none", ".json")):
         out = str(tmp_path / f"json{n}")
-        store.export_json(df.limit(n), out, F.expr(RUN), ["inc42"])
+        store.export_json(df.limit(n), out, F.expr(RUN), ["inc42"], compression=codec)
+        again = from_exchange(read_articles_json(spark, f"{out}/articles"))
+        assert again.count() == n and again.filter("title IS NULL OR url IS NULL OR quality_score IS NULL").isEmpty()
         assert any(f.endswith(suffix) for f in os.listdir(f"{out}/articles"))
         meta = spark.read.json(f"{out}/metadata").first()
         assert meta["total_articles"] == n and meta["quality_distribution"]["fair"] == n
@@ -153,7 +155,7 @@ def test_exports(spark, tmp_path):
 def test_fallback_file(spark, tmp_path):
     item = {"news_id": "a", "news_title": "T", "metadata": {"extraction_strategy": "fallback", "quality_score": 0.5}}
     (tmp_path / "f.json").write_text(json.dumps([item], indent=1))
-    row = read_articles_json(spark, str(tmp_path / "f.json")).first()
+    row = read_articles_json(spark, str(tmp_path / "f.json"), whole_files=True).first()
     assert row["metadata"]["quality_score"] == 0.5 and row["description"] is None
     assert read_articles_json(spark, str(tmp_path / "f.json")).schema == FALLBACK_ARTICLE
 
@@ -174,9 +176,9 @@ def test_batch_run_equals_streamed_run(spark, tmp_path):
     assert sorted(r["url"] for r in batch.articles.collect()) == ["https://x.org/1", "https://x.org/2"]
     assert batch.totals.first().asDict() == {"articles_found": 2, "new_articles": 2, "duplicates": 2, "errors": 0}
 
-    # Titles are remembered within a run only, so the parts here share urls across batches but no titles.
-    rows = [p for p in PAGES if p[0] != 3]
-    want = sorted(r["url"] for r in collect_run(spark.createDataFrame(rows, PAGE), F.expr(RUN)).articles.collect())
+    # Url and title copies lie across the batches.
+    rows = PAGES
+    want = sorted(r["url"] for r in batch.articles.collect())
     landed, out = tmp_path / "landed", str(tmp_path / "out")
     for part in (rows[:2], rows[2:]):
         spark.createDataFrame(part, PAGE).coalesce(1).write.mode("append").parquet(str(landed))
@@ -186,6 +188,19 @@ def test_batch_run_equals_streamed_run(spark, tmp_path):
     assert got == want
 
 
+def test_copies_of_stored_articles_are_counted(spark):
+    stored = collect_run(spark.createDataFrame(PAGES[:1], PAGE), F.expr(RUN)).articles
+    copy = (9, "https://mirror.org/1", PAGES[0][2])
+    run = collect_run(spark.createDataFrame([copy], PAGE), F.expr(RUN), stored=stored)
+    assert run.totals.first()["duplicates"] == 1 and run.articles.count() == 0
+    assert run.verdicts.first()["reason"] == "content_fingerprint_match"
+
+
+def test_first_rows_of_a_frame_with_a_map(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS k", "id", "map('a', id) AS m")
+    assert top_rows(df, ["k"], [F.desc("id")], 1200).count() == 2400
+
+
 def test_streamed_state_equals_batch(spark, tmp_path):
     asked, logged = str(tmp_path / "req"), str(tmp_path / "log")
     requests(spark, [("c", t) for t in ADMIT]).coalesce(1).write.parquet(asked)

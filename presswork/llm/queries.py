@@ -96,4 +96,34 @@ def oracle_sql() -> dict[str, str]:
               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
             SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+        "op5_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+            b AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS byte,
+                CASE WHEN 2 * i + 100 <= length(h) THEN substr(h, 2 * i + 1, 100) END AS w
+              FROM (SELECT doc_id, h, unnest(range(length(h) // 2)) AS i FROM d)),
+            f AS (SELECT w, min(doc_id) AS first FROM b WHERE w IS NOT NULL GROUP BY w),
+            s AS (SELECT b.doc_id, i, byte, coalesce(first < b.doc_id, false) AS starts FROM b LEFT JOIN f USING (w)),
+            c AS (SELECT doc_id, i, byte, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM s),
+            e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+            g AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+                coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY doc_id)
+            SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+              sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)""",
+        "op10_line_dedup": rf"""WITH l AS (
+              SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line_no,
+                unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+            w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l),
+            a AS (SELECT doc_id, line_no, w, row_number() OVER (ORDER BY doc_id, line_no) AS pos FROM w WHERE len(w) > 0),
+            f AS (SELECT w, min(pos) AS pos FROM a GROUP BY w),
+            n AS (SELECT * FROM f WHERE len(w) >= {line_dedup.MIN_NEAR}),
+            v AS (SELECT pos, cut, list_concat(w[:cut - 1], w[cut + 1:]) AS r FROM (SELECT pos, w, unnest(range(1, len(w) + 1)) AS cut FROM n)),
+            gone AS (
+              SELECT v.pos FROM v JOIN (SELECT r, cut, min(pos) AS first FROM v GROUP BY r, cut) USING (r, cut) WHERE first < v.pos
+              UNION SELECT v.pos FROM v JOIN n ON v.r = n.w WHERE n.pos < v.pos
+              UNION SELECT n.pos FROM v JOIN n ON v.r = n.w WHERE v.pos < n.pos
+              UNION SELECT a.pos FROM a JOIN f USING (w) WHERE f.pos < a.pos),
+            s AS (SELECT doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+                coalesce(string_agg(line_no::VARCHAR, ',' ORDER BY line_no) FILTER (WHERE g.pos IS NOT NULL), '') AS removed_lines
+              FROM a LEFT JOIN gone g USING (pos) GROUP BY doc_id)
+            SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines
+            FROM documents LEFT JOIN s USING (doc_id)""",
     }

@@ -129,8 +129,8 @@ def decode(x):
     return DECODE.replace("{x}", x)
 
 
-LEAVES = f"list_transform(regexp_extract_all(html, '<p>([^<]*)</p>', 1), lambda p: {clean(decode('p'))})"
-PAGE_TITLE = clean(decode("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
+LEAVES = f"list_transform(regexp_extract_all(html, '(?i)<p(?:\\s[^>]*)?>([^<]*)</p\\s*>', 1), lambda p: {clean(decode('p'))})"
+PAGE_TITLE = clean(decode("regexp_extract(html, '(?i)<title(?:\\s[^>]*)?>([^<]*)</title\\s*>', 1)"))
 LEAF_TEXT = (
     f"array_to_string(list_filter({LEAVES}, lambda p: length(p) > 30 "
     f"AND NOT regexp_matches(lower(p), '{BOILERPLATE}')), chr(10) || chr(10))"

@@ -1,4 +1,10 @@
-"""Leaf paragraphs straight from the markup, for pages that need no parse."""
+"""Leaf paragraphs straight from the markup, without a parse.
+
+A quick form for reports over whole page tables.  It reads what stands in one
+string between two tags, with attributes and in either case; text around inner
+tags and in leaf ``div`` elements is read by :mod:`presswork.operators.extract` alone, whose
+rules decide in collection runs.
+"""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -6,6 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.quality import quality_score
 from ..functions.text import as_col, clean_text, is_boilerplate, once
 
+# The tags read here.
+PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>([^<]*)</p\s*>"
+TITLE = r"(?i)<title(?:\s[^>]*)?>([^<]*)</title\s*>"
 # The entities decoded here, `&` last.
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
@@ -20,7 +29,7 @@ def decode_entities(c: Column) -> Column:
 
 
 def _leaves(html: Column | str) -> Column:
-    raw = F.regexp_extract_all(as_col(html), F.lit("<p>([^<]*)</p>"), F.lit(1))
+    raw = F.regexp_extract_all(as_col(html), F.lit(PARAGRAPH), F.lit(1))
     return F.transform(raw, lambda p: clean_text(decode_entities(p)))
 
 
@@ -37,13 +46,15 @@ def first_paragraphs(html: Column | str, n: int = 10) -> Column:
 
 
 def page_title(html: Column | str) -> Column:
-    return clean_text(decode_entities(F.regexp_extract(as_col(html), "<title>([^<]*)</title>", 1)))
+    return clean_text(decode_entities(F.regexp_extract(as_col(html), TITLE, 1)))
 
 
 def meta_content(html: Column | str, name: str) -> Column:
-    """``content`` of the first ``<meta>`` whose property or name is ``name``."""
-    pattern = rf'<meta (?:property|name)="{name}" content="([^"]*)"'
-    return decode_entities(F.regexp_extract(as_col(html), pattern, 1))
+    """``content`` of the first ``<meta>`` whose property or name is ``name``, in either order of the two."""
+    named = rf"""(?:property|name)\s*=\s*["']{name}["']"""
+    content = r"""content\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    tag = F.regexp_extract(as_col(html), rf"(?i)<meta\s(?:[^>]*\s)?{named}[^>]*>", 0)
+    return decode_entities(F.coalesce(*[F.nullif(F.regexp_extract(tag, f"(?i){content}", k), F.lit("")) for k in (1, 2)], F.lit("")))
 
 
 def quick_articles(pages: DataFrame) -> DataFrame:

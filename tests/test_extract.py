@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presswork.operators.extract import choose_strategy, extract_articles, extract_candidates, extraction_metrics, gate
 from presswork.operators.nodes import flatten_page, page_nodes
-from presswork.operators.paragraphs import leaf_paragraphs
+from presswork.operators.paragraphs import first_paragraphs, leaf_paragraphs, meta_content, page_title
 from presswork.operators.selectors import predicate
 from presswork.sources.links import discover_links
 from presswork.sources.pages import cap_per_source
@@ -171,3 +171,14 @@ def test_listing_links(spark):
 def test_leaf_paragraphs_decode(spark):
     df = spark.createDataFrame([(f"<p>{'a&amp;b' * 11}</p><p>x <b>y</b></p>",)], "html string")
     assert df.select(leaf_paragraphs("html")).first()[0] == "a&b" * 11
+
+
+def test_quick_forms_read_attributes_case_and_either_order(spark):
+    html = (f'<TITLE lang="en">It&rsquo;s a title</TITLE><meta content="One &#8212; two" property="og:title">'
+            f"<meta name='og:description' content='d'><P class=\"x\">{LONG}</P><p\nid=a>{LONG} again</p >")
+    got = spark.createDataFrame([(html,)], "html string").select(
+        page_title("html").alias("title"), leaf_paragraphs("html").alias("text"), first_paragraphs("html").alias("first"),
+        meta_content("html", "og:title").alias("og"), meta_content("html", "og:description").alias("d"), meta_content("html", "none").alias("n"),
+    ).first()
+    assert got["title"] == "It’s a title" and got["og"] == "One — two" and got["d"] == "d" and got["n"] == ""
+    assert got["text"] == got["first"] == f"{LONG.strip()}\n\n{LONG.strip()} again"

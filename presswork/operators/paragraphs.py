@@ -18,7 +18,9 @@ TITLE = r"(?i)<title(?:\s[^>]*)?>([^<]*)</title\s*>"
 # The entities decoded here, `&` last.
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+    ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"),
+    ("&rdquo;", "”"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&#8211;", "–"), ("&#8212;", "—"), ("&#8216;", "‘"),
+    ("&#8217;", "’"), ("&#8220;", "“"), ("&#8221;", "”"), ("&#8230;", "…"), ("&#160;", "\u00a0"), ("&amp;", "&"),
 ]
 
 

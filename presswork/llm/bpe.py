@@ -21,7 +21,6 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from operator import attrgetter
 from typing import NamedTuple
 
@@ -30,6 +29,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import strings, worker_slot
+
 #: How byte-level vocabularies cut a text (fixed value of the format).
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces a worker remembers.
@@ -281,9 +282,11 @@ class Coder:
         return b"".join([get[i] for i in ids]).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
-    return Coder(path)
+    kept = worker_slot("bpe")
+    if path not in kept:
+        kept[path] = Coder(path)
+    return kept[path]
 
 
 def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -317,7 +320,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
         text_of, data_of = attrgetter("text"), attrgetter("data")
         for batch in batches:
             counts, encoded, decoded = [], [], []
-            for pieces in own.pieces(batch.column("text").to_pylist()):
+            for pieces in own.pieces(strings(batch.column("text"))):
                 ids = ",".join(map(text_of, pieces))
                 counts.append(ids.count(",") + 1 if ids else 0)
                 encoded.append(hashlib.sha256(ids.encode()).hexdigest())

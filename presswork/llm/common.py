@@ -1,6 +1,9 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from presswork.session import fresh_path
@@ -19,6 +22,18 @@ def landed(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@lru_cache(maxsize=1)
+def worker_slot(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator; asking for another's drops it."""
+    return {}
+
+
+def strings(column, rows: int = 500) -> Iterator[str | None]:
+    """The strings of an Arrow column, few of them as Python objects at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import held_out, landed
+from .common import held_out, landed, strings
 from .ngrams import code_points, hashed_counts, letters
 
 DIMS = 2048
@@ -99,7 +99,7 @@ def fit(docs: DataFrame) -> Model:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(lang, x.astype(np.float32)) for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
+            found = [(lang, x.astype(np.float32)) for text, lang in zip(strings(batch.column("text")), batch.column("lang").to_pylist())
                      if (x := counts(text)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.string()),
                                               pa.array([b for _, b in found], pa.list_(pa.float32()))], names=["lang", "tf"])
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame
     """(id, lang_pred, score, rejected) of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t) for t in batch.column("text").to_pylist()]
+            found = [model.predict(t) for t in strings(batch.column("text"))]
             lang, score, rejected = zip(*found) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],

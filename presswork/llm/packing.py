@@ -23,13 +23,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import landed
+from .common import landed, strings, worker_slot
 
 LENGTH = 4096
 END = 2
@@ -98,7 +97,7 @@ class ChunkEncoder:
         known.update(zip(other, self._encoded(other)))
         self.chunks.update((c, b"".join([known[p] for p in pieces])) for c, pieces in cut.items())
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn; texts are taken in lots, so that many chunks are learnt at once."""
         lot: list[list[str] | bytes] = []
         size = 0
@@ -124,9 +123,11 @@ class ChunkEncoder:
             yield chunks if isinstance(chunks, bytes) else b"".join(map(find, chunks))
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+    kept = worker_slot("packing")
+    if path not in kept:
+        kept[path] = ChunkEncoder(path)
+    return kept[path]
 
 
 def measured(docs: DataFrame, path: str, id_col: str = "doc_id", length: int = LENGTH, end: int = END) -> DataFrame:
@@ -139,7 +140,7 @@ def measured(docs: DataFrame, path: str, id_col: str = "doc_id", length: int = L
         own, step = encoder(path), 4 * length
         for batch in batches:
             sizes, crcs = [], []
-            for data in own.encode_all(batch.column("text").to_pylist()):
+            for data in own.encode_all(strings(batch.column("text"))):
                 ids = memoryview(data + last)
                 sizes.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[at:at + step]) for at in range(0, len(ids), step)])
@@ -162,7 +163,7 @@ def cut_checksums(docs: DataFrame, cuts: DataFrame, path: str, id_col: str = "do
         own = encoder(path)
         for batch in batches:
             out = []
-            for data, pieces in zip(own.encode_all(batch.column("text").to_pylist()), batch.column("pieces").to_pylist()):
+            for data, pieces in zip(own.encode_all(strings(batch.column("text"))), batch.column("pieces").to_pylist()):
                 ids = memoryview(data + last)
                 out.append([p | {"crc": zlib.crc32(ids[4 * p["start"]:4 * (p["start"] + p["length"])])} for p in pieces])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, result)], names=["id", "pieces"])

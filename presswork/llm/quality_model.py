@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import landed
+from .common import landed, strings
 from .ngrams import code_points, hashed_counts
 
 DIMS = 1024
@@ -141,7 +141,7 @@ def with_patterns(docs: DataFrame, id_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("h"), pa.array(
-                [pattern(t) for t in batch.column("text").to_pylist()], pa.int32())], names=[id_col, "h", "pattern"])
+                [pattern(t) for t in strings(batch.column("text"))], pa.int32())], names=[id_col, "h", "pattern"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, F.xxhash64(id_col, "text").alias("h"), "text").mapInArrow(run, f"{id_col} {kind}, h bigint, pattern int")
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, voted: DataFrame, id_col: str) -> Model:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("pattern"), pa.array(
-                [hashed(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float32()))], names=["h", "pattern", "x"])
+                [hashed(t) for t in strings(batch.column("text"))], pa.list_(pa.float32()))], names=["h", "pattern", "x"])
 
     rows = landed(chosen.select("h", "pattern", "text").mapInArrow(vectors, "h bigint, pattern int, x array<float>"), "quality-sample")
 
@@ -181,9 +181,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            codes = np.array([pattern(t) for t in texts], np.int64)
-            scores = np.array([model.score(t) for t in texts], np.float64)
+            judged = [(pattern(t), model.score(t)) for t in strings(batch.column("text"))]
+            codes, scores = np.array([c for c, _ in judged], np.int64), np.array([s for _, s in judged], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), pa.array(codes.astype(np.int32)), pa.array(posterior(codes, model.share, model.table)),
                  pa.array(scores), pa.array((scores >= GOOD).astype(np.int32))],

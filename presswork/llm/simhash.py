@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import landed
+from .common import landed, strings, worker_slot
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 3
@@ -74,8 +74,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        worker_slot("simhash")
         for batch in batches:
-            values = np.fromiter((fingerprint(t) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+            values = np.fromiter((fingerprint(t) for t in strings(batch.column("text"))), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("tk"), pa.array(values.view(np.int64))], names=[id_col, "tk", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -161,6 +162,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def near_links(keyed: DataFrame) -> DataFrame:
     """A spanning forest (a, b) of the links inside each group of ``keyed`` (key, fp)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_slot("simhash")
         parts = [(b["key"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64)) for b in batches]
         if not parts:
             return
@@ -273,5 +275,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     and so are rows without an id in a component where none has one.
     """
     found = near_duplicates(docs.select(F.col(id_col).alias("_id"), "text"), "_id")
-    kept = found.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id", F.col("tk").alias("_tk")).distinct()
-    return docs.join(kept, (F.xxhash64("text") == F.col("_tk")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    kept = found.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("kept id"), F.col("tk").alias("kept text")).distinct()
+    return docs.join(kept, (F.xxhash64("text") == F.col("kept text")) & F.col(id_col).eqNullSafe(F.col("kept id")), "left_semi")

@@ -39,6 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import worker_slot
+
 WINDOW = 50
 #: A difference cover: every distance modulo PERIOD lies between two of COVER.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -242,6 +244,7 @@ def _g(docs: pa.Table, messages: pa.Table) -> int:
 
 def sample_step(n_buckets: int):
     def run(docs: pa.Table, messages: pa.Table) -> pa.Table:
+        worker_slot("suffixes")
         copies, g = _copies(messages), _g(docs, messages)
         _, keys = Group(docs, copies).samples(n_buckets)
         keys = _distinct(keys)
@@ -271,6 +274,7 @@ def shared_samples(messages: pa.Table) -> pa.Table:
 
 def suffix_step(n_sample_buckets: int, n_buckets: int, width: int):
     def run(docs: pa.Table, messages: pa.Table) -> pa.Table:
+        worker_slot("suffixes")
         copies, g = _copies(messages), _g(docs, messages)
         group = Group(docs, copies)
         places, keys = group.samples(n_sample_buckets)
@@ -344,6 +348,7 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def cut_step(n_buckets: int, width: int, keep: pa.Schema, with_text: bool):
     """Rows (columns of ``keep``, n_bytes, n_removed, n_spans, kept_sha256, text, tk, spans) of whole texts; segments give spans."""
     def run(docs: pa.Table, messages: pa.Table) -> pa.Table:
+        worker_slot("suffixes")
         copies = _copies(messages)
         group = Group(docs, copies)
         kinds, sources, bodies = (messages.column(c).to_pylist() for c in ("kind", "src", "body"))

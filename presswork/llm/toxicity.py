@@ -31,7 +31,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .common import held_out, landed, words
+from .common import held_out, landed, strings, worker_slot, words
 
 TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
@@ -109,7 +109,8 @@ def with_features(rows: DataFrame, lexicon: tuple[str, ...], *keep: str) -> Data
     """(keep..., x): the features of ``text``, which is not kept."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t, lexicon) for t in batch.column("text").to_pylist()]
+            worker_slot("toxicity")
+            found = [features(t, lexicon) for t in strings(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.float64()))], names=[*keep, "x"])
 
     schema = StructType([*[rows.schema[c] for c in keep], StructField("x", ArrayType(DoubleType()))])

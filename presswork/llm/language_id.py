@@ -7,11 +7,12 @@ what nearly all of that cluster's own texts reach marks it as rejected: its
 language is then the nearest one, but may be none of those learnt.
 
 Trained on at most ``PER_LANGUAGE`` texts per language, those with the smallest
-hash of their id; every text is scored whole.  Scale: the sample is cut by a
-per-task limit before it is shuffled; scoring is a map.
+hash of their id; every text is scored whole.  Scale: the sample is cut by
+task and by part of a language, as ids only, before a language meets in one
+task; scoring is a map.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is
-every text if nothing can be learnt; training texts need a language; very long
+every text if nothing can be learnt; training texts need a language and an id; very long
 texts are counted in slices; repeated rows are scored alike; an empty table
 gives no rows; further columns are ignored.
 """
@@ -30,6 +31,8 @@ from .ngrams import code_points, hashed_counts, letters
 DIMS = 2048
 SIZES = (1, 2, 3)
 PER_LANGUAGE = 1000
+#: Parts of a language that are cut to PER_LANGUAGE before it as a whole is.
+PARTS = 64
 CLUSTERS = 4
 ROUNDS = 12
 #: Share of a cluster's own texts that would be rejected.
@@ -94,8 +97,14 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """Learn from (id, text, lang); see the module's text for the sample."""
-    smallest = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = docs.filter("lang is not null").withColumn("at", F.row_number().over(smallest)).filter(F.col("at") <= PER_LANGUAGE)
+    # The sample is chosen without texts, in parts of each language first; its texts are fetched afterwards.
+    rows = docs.filter("lang is not null and id is not null").select("lang", "id", F.xxhash64("id").alias("h"))
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(PARTS))).orderBy("h", "id")
+    whole = Window.partitionBy("lang").orderBy("h", "id")
+    for window in (parts, whole):
+        rows = rows.withColumn("at", F.row_number().over(window)).filter(F.col("at") <= PER_LANGUAGE).drop("at")
+    chosen = rows.select("id", "lang").distinct()
+    sample = docs.select("id", "lang", "text").join(F.broadcast(chosen), ["id", "lang"])  # at most PER_LANGUAGE per language
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

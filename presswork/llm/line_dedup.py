@@ -158,7 +158,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Numbers of the lines that go, a row per document (``_id``, ``_tk``) with any."""
     docs = _keyed(docs, id_col)
     lines = landed(line_table(docs), "line-table")
-    first = lines.groupBy("h1", "h2").agg(F.min(_place()).alias("place"))
+    # Written, so that the joins meet it as it is and can split a line that is very common.
+    first = landed(lines.groupBy("h1", "h2").agg(F.min(_place()).alias("place")), "line-firsts")
     copies = lines.join(first, ["h1", "h2"]).filter(_place() > F.col("place")).select("_id", "_tk", "line_no")
     worded = landed(_with_words(docs, _candidates(lines, first)), "line-words")
     near = near_duplicates(worded, landed(deletion_variants(worded), "line-variants"))

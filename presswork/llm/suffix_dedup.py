@@ -43,7 +43,7 @@ from .common import worker_slot
 
 WINDOW = 50
 #: A difference cover: every distance modulo PERIOD lies between two of COVER.
-PERIOD, COVER = 21, (0, 1, 4, 14, 16)
+PERIOD, COVER = 13, (0, 1, 3, 9)
 KEY = WINDOW - PERIOD + 1
 GROUP_BYTES = 1 << 21
 SEGMENT = 1 << 20

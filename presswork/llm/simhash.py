@@ -28,7 +28,7 @@ texts are hashed in slices, so memory does not follow their length.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -268,12 +268,12 @@ def simhash_query(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", duplicates: Callable[[DataFrame, str], DataFrame] = near_duplicates) -> DataFrame:
+    """``docs`` with one document of each component of ``duplicates``: the one with the smallest id.
 
     Rows repeating an id and its text are one document and stay or go together,
     and so are rows without an id in a component where none has one.
     """
-    found = near_duplicates(docs.select(F.col(id_col).alias("_id"), "text"), "_id")
+    found = duplicates(docs.select(F.col(id_col).alias("_id"), "text"), "_id")
     kept = found.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select(F.col("_id").alias("kept id"), F.col("tk").alias("kept text")).distinct()
     return docs.join(kept, (F.xxhash64("text") == F.col("kept text")) & F.col(id_col).eqNullSafe(F.col("kept id")), "left_semi")

@@ -43,7 +43,7 @@ CUTOFF = 40.0
 #: distribution in five dimensions: 0.75 / P(chi2_7 <= 6.63).
 CONSISTENCY = 1.41
 #: Statistics judged, with the least standard deviation assumed for each.
-FLOORS = {"x0": 0.35, "x1": 0.12, "x2": 0.08, "x3": 0.12, "x4": 0.12}
+FLOORS = {"x0": 0.35, "x1": 0.12, "x2": 0.02, "x3": 0.12, "x4": 0.12}
 #: Parts that a group's documents are dealt into for joins.
 SALTS = 32
 #: Bins per unit of ln(1 + squared distance).

@@ -42,7 +42,7 @@ SHARD_ROWS = 50_000
 _ODD = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
 #: Composed Latin letters, and marks that never take part in a contraction.
 _PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[.,;:!?()*#$%&|-]+")
-_WHOLLY_PLAIN = re.compile("(?:[a-z\xdf-\xf6\xf8-\xff]+|[.,;:!?()*#$%&|-]+)+\\Z")
+_WHOLLY_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff.,;:!?()*#$%&|-]+\\Z")
 
 
 class ChunkEncoder:

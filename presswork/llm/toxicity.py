@@ -51,7 +51,7 @@ FEATURES = ("log_words", "density", "log_hits", "clustering", "near_you", "capit
 _STRIP = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 _PRONOUN = re.compile(r"(?<!\w)(?:" + "|".join(PRONOUNS) + r")(?!\w)")
 _CAPITALS = re.compile(r"\b[A-Z]{3,}\b")
-_OBFUSCATED = re.compile(r"[^\W\d_]+(?:[0-9@$*!#%&._-]+[^\W\d_]+)+")
+_OBFUSCATED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$*!#%&._-]++[^\W\d_]++)++")
 _CLASSES = np.zeros(256, np.uint8)
 for _code, _chars in enumerate((range(97, 123), range(65, 91), range(48, 58), b"!", b".,;:?'\"()-", b"#*$%&|<>@^~_+=[]{}/\\"), start=1):
     _CLASSES[list(_chars)] = _code
@@ -105,16 +105,17 @@ def features(text: str | None, lexicon: tuple[str, ...]) -> list[float]:
             kinds[3] / size, len(hidden) / n, plain / n]
 
 
-def with_features(rows: DataFrame, lexicon: tuple[str, ...], *keep: str) -> DataFrame:
-    """(keep..., x): the features of ``text``, which is not kept."""
+def with_features(rows: DataFrame, lexicon: tuple[str, ...], *keep: str, within: str | None = None) -> DataFrame:
+    """(keep..., x): the features of ``text``, a column of ``rows`` or a field of the kept struct ``within``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             worker_slot("toxicity")
-            found = [features(t, lexicon) for t in strings(batch.column("text"))]
+            texts = batch.column(within).field("text") if within else batch.column("text")
+            found = [features(t, lexicon) for t in strings(texts)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.float64()))], names=[*keep, "x"])
 
     schema = StructType([*[rows.schema[c] for c in keep], StructField("x", ArrayType(DoubleType()))])
-    return rows.select(*keep, "text").mapInArrow(run, schema)
+    return rows.select(*keep, *([] if within else ["text"])).mapInArrow(run, schema)
 
 
 def learn_lexicon(train: DataFrame) -> tuple[str, ...]:
@@ -143,7 +144,8 @@ class Model:
         if self.trees is None:
             return docs.select(*keep, F.lit(self.share).alias("_score"))
         # The kept columns travel in one, whatever their names.
-        rows = with_features(docs.select(F.struct(*keep).alias("kept"), "text"), self.lexicon, "kept")
+        kept = docs.select(F.struct(*keep).alias("kept"), *([] if "text" in keep else ["text"]))
+        rows = with_features(kept, self.lexicon, "kept", within="kept" if "text" in keep else None)
         raw = self.trees.transform(rows.select("kept", array_to_vector("x").alias("features")))
         probed = raw.select("kept", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
         score = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
@@ -161,8 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     n = train.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not n["n"] or n["t"] in (0, n["n"]):
         return Model((), None, None, float(n["t"] or 0) / max(1, n["n"]))
-    lexicon = learn_lexicon(train)
-    rows = landed(with_features(train, lexicon, "toxic", "h").withColumn("fold", F.pmod(F.col("h"), F.lit(5))), "toxicity-features")
+    fold = F.pmod(F.col("h"), F.lit(5))
+    lexicon = learn_lexicon(train.filter(fold != 0))
+    rows = landed(with_features(train, lexicon, "toxic", "h").withColumn("fold", fold), "toxicity-features")
     vectors = rows.select(array_to_vector("x").alias("features"), F.col("toxic").cast("double").alias("label"), "fold")
     trees = GBTClassifier(maxDepth=3, maxIter=16, stepSize=0.25, minInstancesPerNode=8, seed=7).fit(vectors.filter("fold <> 0"))
     judged = trees.transform(vectors.filter("fold = 0")).select(F.get(vector_to_array("probability"), F.lit(1)).alias("p"), "label")

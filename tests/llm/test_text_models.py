@@ -1,6 +1,7 @@
 """Operators 3, 4, 8 and 9: brute force, held-out accuracy, odd rows; the pipeline."""
 import math
 import random
+import time
 import re
 import zlib
 
@@ -77,6 +78,13 @@ def test_toxicity_of_odd_rows(spark, corpus):
     assert toxicity.toxicity_query(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_of_very_long_words():
+    start = time.time()
+    for text in ("a" * 1_000_000, "a1" * 300_000, "ab" * 20_000 + "!" * 20_000, "中" * 200_000, "." * 500_000):
+        assert len(toxicity.features(text, ("grubbo", "zorg*"))) == len(toxicity.FEATURES)
+    assert time.time() - start < 10
+
+
 # ------------------------------------------------------------- 4: languages
 
 def test_language_held_out(spark):

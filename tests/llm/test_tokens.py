@@ -1,5 +1,6 @@
 """Operators 6 and 7 against the tokenizers library."""
 import random
+import time
 import zlib
 
 import numpy as np
@@ -55,6 +56,19 @@ def test_proposals_are_verified(coder):
         assert passes == (ids.tolist() == want)
 
 
+@pytest.mark.parametrize("text", ["a" * 40 + "1", "ab,cd" * 8 + "é5", "a" * 1_000_000, ".," * 20_000 + "@", "ßx" * 10_000 + "中"])
+def test_glued_chunks_take_linear_time(text):
+    """A run of plain characters before another sign is settled at once."""
+    path = tokenizer_path("word_bpe_49k.json")
+    own = packing.ChunkEncoder(path)
+    whole = library("word_bpe_49k.json")
+    start = time.time()
+    packing._WHOLLY_PLAIN.match(text)
+    assert time.time() - start < 1
+    if len(text) < 100_000:
+        assert list(own.encode_all([text])) == [np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 20)
     monkeypatch.setattr(bpe, "LOT_CHARS", 100)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.llm import jaccard, line_dedup, packing, simhash, suffix_dedup, toxicity
+from presswork.llm import line_dedup, packing, simhash, suffix_dedup, toxicity
 from presswork.llm.common import landed
 from presswork.llm.queries import tokenizer_path
 
@@ -24,8 +24,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return simhash.one_of_each(docs, duplicates=jaccard.near_duplicates)
+    """One document, that with the smallest id, of each group whose fingerprints of three-word shingles link at three bits or fewer."""
+    return simhash.one_of_each(docs)
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

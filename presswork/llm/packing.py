@@ -9,11 +9,13 @@ end is cut at powers of two, which need no padding.  Patterns are joined back
 to documents by their rank among the documents of the same rest.
 
 Scale: the driver sees the histogram only (one number per length below
-``length``), whatever the number of documents.  Ranks come from counts per
-(length, shard) and a short window in each shard, so a length that a third of
-all documents share is ranked in many tasks.  Texts are encoded once where they
-lie; only checksums and lengths move.  The few documents cut inside their rest
-are encoded again.
+``length``) and packs it in bundles, so that its patterns stay about as many as
+``UNIT_RESTS`` documents have, times the few rounds.  Patterns become a row for
+each pack and entry in tasks and meet documents by (rest, rank); nothing that
+grows is sent to all.  Ranks come from counts per (length, shard) and a short
+window in each shard, so a length that a third of all documents share is ranked
+in many tasks.  Texts are encoded once where they lie; checksums and lengths
+move, and the texts of documents cut inside their rest, to be encoded again.
 
 Edge cases: a null or empty text is the end token alone; rows with equal ids
 (null ids too) are packed each for itself; an empty table gives no rows.
@@ -24,6 +26,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
@@ -36,8 +40,12 @@ END = 2
 MEMORY = 700_000
 #: Characters of text whose chunks are looked up together.
 LOT_CHARS = 1 << 20
-#: Documents in a shard of the ranking, about.
-SHARD_ROWS = 50_000
+#: Documents in a shard of the ranking, about, and ranks that one task turns into rows.
+SHARD_ROWS, SPAN_ROWS = 50_000, 50_000
+#: Rests packed one by one at a time; more of them are packed in equal bundles first.
+UNIT_RESTS = 100_000
+#: Documents cut inside their rest whose keys are sent to the tasks that read the texts.
+CUT_KEYS = 1_000_000
 #: Separators and letters on which Python's splitting or lower-casing and the tokenizer's may differ, and special tokens.
 _ODD = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
 #: Composed Latin letters, and marks that never take part in a contraction.
@@ -111,16 +119,18 @@ class ChunkEncoder:
         yield from self._looked_up(lot)
 
     def _looked_up(self, lot: list[list[str] | bytes]) -> Iterator[bytes]:
-        every = [chunks for chunks in lot if isinstance(chunks, list)]
-        fresh = set().union(*every).difference(self.chunks)
-        if fresh and len(self.chunks) + len(fresh) > MEMORY:
-            self.chunks.clear()
-            fresh = set().union(*every)
+        find = self.chunks.get
+        parts = [chunks if isinstance(chunks, bytes) else [*map(find, chunks)] for chunks in lot]
+        fresh = {c for chunks, found in zip(lot, parts) if isinstance(found, list) and None in found for c, part in zip(chunks, found) if part is None}
         if fresh:
+            if len(self.chunks) + len(fresh) > MEMORY:
+                self.chunks.clear()
+                fresh = set().union(*[chunks for chunks in lot if isinstance(chunks, list)])
             self._learn(fresh)
-        find = self.chunks.__getitem__
-        for chunks in lot:
-            yield chunks if isinstance(chunks, bytes) else b"".join(map(find, chunks))
+        for chunks, found in zip(lot, parts):
+            if isinstance(found, list):
+                found = b"".join(map(find, chunks) if None in found else found)
+            yield found
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -173,9 +183,12 @@ def cut_checksums(docs: DataFrame, cuts: DataFrame, path: str, id_col: str = "do
     names = ["start", "length", "doc_tokens", "sequence_id", "offset"]
     result = pa.list_(pa.struct([pa.field(c, pa.int64()) for c in (*names, "crc")]))
     # Rows that repeat a document share its text: they come together here, a row per cut.
-    per_doc = cuts.groupBy(id_col, "tk").agg(F.collect_list(F.struct(*names)).alias("pieces"))
+    per_doc = landed(cuts.groupBy(id_col, "tk").agg(F.collect_list(F.struct(*names)).alias("pieces")), "packing-cuts")
     right = per_doc.withColumnsRenamed({id_col: "_id2", "tk": "_tk2"})
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("tk"), "text")
+    if per_doc.count() <= CUT_KEYS:
+        # Only texts that were cut move; beyond this number of them, all do.
+        keyed = keyed.join(F.broadcast(per_doc.select("tk").distinct()), "tk", "left_semi")
     met = keyed.join(right, (F.col("tk") == F.col("_tk2")) & F.col("id").eqNullSafe(F.col("_id2")))
     once = met.groupBy("id", "tk").agg(F.first("text").alias("text"), F.first("pieces").alias("pieces")).select("id", "text", "pieces")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -224,41 +237,71 @@ def shortest_pack_first(histogram: dict[int, int], length: int = LENGTH) -> list
     return [p for same in by_used.values() for p in same]
 
 
+def packed_in_bundles(histogram: dict[int, int], length: int = LENGTH, units: int = UNIT_RESTS) -> list[Packs]:
+    """``shortest_pack_first`` with a bounded number of patterns, whatever the number of rests.
+
+    More than ``units`` rests are packed as bundles of equally many rests of one
+    length, so a pattern counts bundles; what is left over of each length, less
+    than a bundle, is packed in smaller bundles, and at last one by one.  Each
+    round has about ``units`` bundles or fewer, or one for each length.
+    """
+    out: list[Packs] = []
+    done = dict.fromkeys(histogram, 0)
+    left = dict(histogram)
+    while left:
+        bundle = max(1, sum(left.values()) // units)
+        for p in shortest_pack_first({n: k // bundle for n, k in left.items() if k >= bundle}, length):
+            p.count *= bundle
+            p.entries = [(n, done[n] + rank * bundle, start, size, at) for n, rank, start, size, at in p.entries]
+            out.append(p)
+        done = {n: done[n] + left.get(n, 0) // bundle * bundle for n in done}
+        left = {n: k % bundle for n, k in left.items() if k % bundle}
+    return out
+
+
 def fill_gaps(packs: list[Packs], length: int = LENGTH) -> list[Packs]:
-    """Take the emptiest packs apart until no other pack has room; cut the end at powers of two."""
-    packs = sorted(packs, key=lambda p: -p.used)
+    """Take packs of the commonest patterns apart until no other pack has room; cut the end at powers of two.
+
+    Pieces of many packs alike go into many packs alike: the commonest first on
+    both sides, so that a step settles whole patterns and entries stay few.
+    """
+    packs = sorted(packs, key=lambda p: p.count)
     gap = sum((length - p.used) * p.count for p in packs)
-    dissolve, loose = -(-gap // length), []
+    dissolve, apart = -(-gap // length), []
     while dissolve:
         p = packs.pop()
         m = min(p.count, dissolve)
         taken = p.split(m) if m < p.count else p
         if taken is not p:
             packs.append(p)
-        loose += [[n, rank, start, size, m] for n, rank, start, size, _ in taken.entries]
+        apart += [(-m, k, [n, rank, start, size]) for k, (n, rank, start, size, _) in enumerate(taken.entries, len(apart))]
         dissolve -= m
-    loose.sort(key=lambda x: x[3])
-    out, todo = [p for p in packs if p.used == length], [p for p in packs if p.used < length]
-
-    def place(p: Packs) -> None:
-        """Put the longest loose piece, or as much as fits, into ``p``."""
-        n, rank, start, size, count = loose.pop()
-        m = min(p.count, count)
-        if m < count:
-            loose.append([n, rank + m, start, size, count - m])
+    out = [p for p in packs if p.used == length]
+    order = count(len(apart))
+    todo = [(-p.count, next(order), p) for p in packs if p.used < length]
+    heapify(apart)
+    heapify(todo)
+    while todo and apart:
+        _, _, p = heappop(todo)
+        have, _, (n, rank, start, size) = heappop(apart)
+        m = min(p.count, -have)
+        if m < -have:
+            heappush(apart, (have + m, next(order), [n, rank + m, start, size]))
         taken = p.split(m) if m < p.count else p
         if taken is not p:
-            todo.append(p)
+            heappush(todo, (-p.count, next(order), p))
         room = length - taken.used
         if size > room:
-            loose.append([n, rank, start + room, size - room, m])
+            heappush(apart, (-m, next(order), [n, rank, start + room, size - room]))
         full = taken.with_piece(n, rank, start, min(size, room))
-        (out if full.used == length else todo).append(full)
-
-    while todo and loose:
-        place(todo.pop())
+        if full.used == length:
+            out.append(full)
+        else:
+            heappush(todo, (-full.count, next(order), full))
+    loose = [[*piece, -have] for have, _, piece in apart]
+    todo = [p for _, _, p in todo]
     # The rest is less than one pack: sequences of powers of two, largest first.
-    singles = [(n, rank + i, start, size) for n, rank, start, size, count in loose for i in range(count)]
+    singles = [(n, rank + i, start, size) for n, rank, start, size, k in loose for i in range(k)]
     left = sum(s[3] for s in singles)
     while left:
         room = 1 << (left.bit_length() - 1)
@@ -295,19 +338,21 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", length: int = LENGT
     n_docs = sized.count()
     shards = max(1, n_docs // SHARD_ROWS)
     histogram = {r["rest"]: r["k"] for r in rested.filter("rest > 0").groupBy("rest").agg(F.count(F.lit(1)).alias("k")).collect()}
-    packs = fill_gaps(shortest_pack_first(histogram, length), length)
+    packs = fill_gaps(packed_in_bundles(histogram, length), length)
     rows, base = [], 0
     for p in packs:
         rows += [(n, rank, rank + p.count, base, start, size, at) for n, rank, start, size, at in p.entries]
         base += p.count
     patterns = spark.createDataFrame(
         rows, "rest long, first long, last long, sequence long, start long, size long, offset long")
-    # Of a length, a rank lies in one interval unless its rest is cut: then in one for each part.
-    spans = patterns.groupBy("rest").agg(F.sort_array(F.collect_list(F.struct("first", "last", "sequence", "start", "size", "offset"))).alias("spans"))
+    # A row for each pack and entry, which meets the document of its rank; long runs are dealt out first.
+    runs = patterns.withColumn("from", F.explode(F.sequence("first", F.col("last") - 1, F.lit(SPAN_ROWS).cast("long")))).repartition(
+        max(spark.sparkContext.defaultParallelism, n_docs // SHARD_ROWS))
+    spans = runs.select("rest", F.explode(F.sequence("from", F.least("last", F.col("from") + SPAN_ROWS) - 1)).alias("rank"),
+                        "first", "sequence", "start", "size", "offset")
     ranked = landed(_ranked(rested.filter("rest > 0"), shards, id_col), "packing-ranks")
-    met = ranked.join(F.broadcast(spans), "rest")  # one row per length below ``length``
-    mine = F.filter("spans", lambda s: (s["first"] <= F.col("rank")) & (F.col("rank") < s["last"]))
-    parts = met.select(id_col, "tk", "n", "rest", "rank", "crcs", F.explode(mine).alias("s"))
+    met = ranked.withColumnsRenamed({"rest": "_rest", "rank": "_rank"}).join(spans, (F.col("_rest") == F.col("rest")) & (F.col("_rank") == F.col("rank")))
+    parts = met.select(id_col, "tk", "n", "rest", "rank", "crcs", F.struct("first", "sequence", "start", "size", "offset").alias("s"))
     parts = parts.select(
         id_col, "tk", F.col("n").alias("doc_tokens"), (F.col("n") - F.col("rest") + F.col("s.start")).alias("start"),
         F.col("s.size").alias("length"), (F.col("s.sequence") + F.col("rank") - F.col("s.first")).alias("sequence_id"),

@@ -25,6 +25,7 @@ from presswork.operators import dedupe as dd, health, paragraphs, reports, searc
 from presswork.operators.extract import (  # noqa: E402
     choose_strategy, extract_articles, extraction_metrics, gate,
 )
+from presswork.operators.near_vectors import CosineSimilar, earlier_matches  # noqa: E402
 from presswork.operators.tfidf import best_stored_match, tfidf_similar, tfidf_vectors  # noqa: E402
 from presswork.plans import views  # noqa: E402
 from presswork.plans.collect import article_rows, union_sources, with_host  # noqa: E402
@@ -383,6 +384,20 @@ def cosine_stored_match(spark, sf):
     return found.select("vec_id", "label", "matched", F.round("similarity", 6).alias("similarity"))
 
 
+def cosine_earlier_match(spark, sf):
+    """Every embedding's most similar earlier one, of all rows."""
+    found = earlier_matches(_table(spark, sf, "embeddings"), "vec_id", "embedding", threshold=P["cosine_threshold"])
+    return found.select("vec_id", "matched", F.round("similarity", 6).alias("similarity"), "n_matches")
+
+
+def cosine_dedupe(spark, sf):
+    """Embeddings near an earlier kept one, whole copies first."""
+    rows = _table(spark, sf, "embeddings").select("vec_id", "embedding", F.md5(F.to_json("embedding")).alias("vector_hash"))
+    similar = CosineSimilar(rows, "vec_id", "embedding", threshold=P["cosine_threshold"])
+    return dd.dedupe(rows, "vec_id", ["vector_hash"], [("same_vector", 1.0)], similar, "cosine_similarity", pair_bound=similar.pair_bound).select(
+        "vec_id", "is_duplicate", "reason", F.round("similarity", 6).alias("similarity"), "matched")
+
+
 def comparison_rows(spark, sf):
     kept = windows.comparison_set(_articles(spark, sf).select("doc_id", "source", "created_at"), tie="doc_id")
     return kept.select("source", "doc_id", "recency")
@@ -633,6 +648,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "duplicate_counts": duplicate_counts,
         "comparison_rows": comparison_rows,
         "cosine_stored_match": cosine_stored_match,
+        "cosine_earlier_match": cosine_earlier_match,
+        "cosine_dedupe": cosine_dedupe,
         "tfidf_stored_match": tfidf_stored_match,
         "tfidf_dedupe": tfidf_dedupe,
         # reports

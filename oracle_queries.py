@@ -409,6 +409,25 @@ def statements() -> dict[str, str]:
                   FROM embeddings e JOIN s ON e.label = s.label AND e.vec_id <> s.matched)
             SELECT vec_id, label, arg_min(matched, r) AS matched, round(arg_min(sim, r), 6) AS similarity
             FROM p WHERE sim > {P['cosine_threshold']}::DOUBLE GROUP BY vec_id, label""",
+        "cosine_earlier_match": f"""WITH p AS (
+              SELECT a.vec_id, b.vec_id AS matched, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim
+              FROM embeddings a JOIN embeddings b ON b.vec_id < a.vec_id)
+            SELECT vec_id, arg_max(matched, (sim, -matched)) AS matched, round(max(sim), 6) AS similarity, count(*) AS n_matches
+            FROM p WHERE sim > {P['cosine_threshold']}::DOUBLE GROUP BY vec_id""",
+        "cosine_dedupe": f"""WITH RECURSIVE e AS (
+              SELECT vec_id, embedding::DOUBLE[] AS v, embedding::VARCHAR AS copy, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
+            p AS (SELECT a.n, b.vec_id AS matched, a.copy = b.copy AS same, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON b.n < a.n
+              WHERE a.copy = b.copy OR list_cosine_similarity(a.v, b.v) > {P['cosine_threshold']}::DOUBLE),
+            q AS (SELECT n, list({{'matched': matched, 'same': same, 'sim': sim}} ORDER BY same DESC, sim DESC, matched) AS hits FROM p GROUP BY n),
+            walk AS (
+              SELECT 0::BIGINT AS n, 0::BIGINT AS vec_id, []::BIGINT[] AS kept, NULL::STRUCT(matched BIGINT, same BOOLEAN, sim DOUBLE) AS hit
+              UNION ALL
+              SELECT e.n, e.vec_id,
+                CASE WHEN len(list_filter(coalesce(q.hits, []), lambda h: list_contains(w.kept, h.matched))) > 0 THEN w.kept ELSE list_append(w.kept, e.vec_id) END,
+                list_filter(coalesce(q.hits, []), lambda h: list_contains(w.kept, h.matched))[1]
+              FROM walk w JOIN e ON e.n = w.n + 1 LEFT JOIN q ON q.n = e.n)
+            SELECT vec_id, hit IS NOT NULL AS is_duplicate, CASE WHEN hit.same THEN 'same_vector' WHEN hit IS NOT NULL THEN 'cosine_similarity' END AS reason,
+              CASE WHEN hit IS NULL THEN 0 WHEN hit.same THEN 1 ELSE round(hit.sim, 6) END AS similarity, hit.matched AS matched FROM walk WHERE n > 0""",
         "tfidf_stored_match": f"""WITH {_vectors()},
             dots AS (SELECT a.doc_id, s.matched, sum(a.weight * b.weight) AS sim
                      FROM vec a JOIN vec b ON a.source = b.source AND a.term = b.term

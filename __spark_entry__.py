@@ -313,7 +313,7 @@ def _keyed_docs(spark, sf) -> DataFrame:
     url = F.concat(F.lit("https://"), "lang", F.lit(".example/"), F.md5(F.substring("text", 1, 20)))
     return _docs_spread(spark, sf).select(
         "doc_id", "lang", url.alias("url"), title_hash(views.first_line("text")).alias("title_hash"),
-        fingerprint(views.first_line("text"), "text", url).alias("content_fingerprint"))
+        fingerprint(views.first_line("text"), "text", url, None).alias("content_fingerprint"))
 
 
 def first_by(key):
@@ -358,12 +358,12 @@ def duplicate_counts(spark, sf):
 
 def _sim_texts(spark, sf) -> DataFrame:
     return _articles_spread(spark, sf).select(
-        "doc_id", "source", "created_at", similarity_text("title", "content").alias("sim_text"))
+        "doc_id", "source", "created_at", similarity_text("title", "content", None).alias("sim_text"))
 
 
 def tfidf_stored_match(spark, sf):
     texts = _sim_texts(spark, sf)
-    vec = durable(tfidf_vectors(texts, "doc_id", "sim_text", "source", P["stop_words"], max_features=5000))
+    vec = durable(tfidf_vectors(texts, "doc_id", "sim_text", "source", P["stop_words"]))
     kept = windows.comparison_set(texts.select("doc_id", "source", "created_at"), tie="doc_id")
     stored = kept.select(F.col("source").alias("grp"), F.col("doc_id").alias("key"))
     found = best_stored_match(vec, stored, P["tfidf_threshold"])
@@ -601,7 +601,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clean_text": _on_docs(text=lambda: clean_text("text")),
         "normalize_text": _on_docs(text=lambda: normalize_text("text")),
         "key_phrases": _on_docs(phrases=lambda: key_phrases("text")),
-        "content_fingerprint": _on_articles("doc_id", "content_fingerprint"),
+        "content_fingerprint": _on_articles("doc_id", content_fingerprint=lambda: fingerprint("title", "content", "url")),
         "title_hash": _on_docs(title_hash=lambda: title_hash(_title())),
         "article_id": lambda s, d: _pages(s, d).select("page_id", article_id("url", _run_ts()).alias("news_id")),
         "url_parts": lambda s, d: _pages(s, d).select(

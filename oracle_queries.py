@@ -74,8 +74,9 @@ def host(url):
     return f"regexp_extract({url}, '{PARTS}', 2)"
 
 
-def fingerprint(title, content, url):
-    return (f"sha256('T:' || {normalize(title)} || '|C:' || {normalize(f'substr({content}, 1, 2000)')} "
+def fingerprint(title, content, url, length=2000):
+    body = f"substr({content}, 1, {length})" if length else content
+    return (f"sha256('T:' || {normalize(title)} || '|C:' || {normalize(body)} "
             f"|| '|U:' || {path(url)})")
 
 
@@ -155,7 +156,7 @@ links AS (
 KEYED = f"""
 keyed_base AS (SELECT doc_id, lang, text, 'https://' || lang || '.example/' || md5(substr(text, 1, 20)) AS url FROM documents),
 keyed AS (SELECT doc_id, lang, url, md5({normalize(TITLE)}) AS title_hash,
-                 {fingerprint(TITLE, 'text', 'url')} AS content_fingerprint FROM keyed_base)"""
+                 {fingerprint(TITLE, 'text', 'url', None)} AS content_fingerprint FROM keyed_base)"""
 
 # Row by row in order, carrying the keys of everything kept so far.
 GREEDY = KEYED + """,
@@ -207,7 +208,7 @@ MICRO_TEXT = "text"
 
 
 def _vectors():
-    n = normalize("title || ' ' || substr(content, 1, 1000)")
+    n = normalize("title || ' ' || content")
     stop = ", ".join(f"'{w}'" for w in P["stop_words"])
     return DOC_ARTICLES + rf""",
 sim AS (SELECT doc_id, source, created_at, {n} AS t FROM articles),
@@ -221,8 +222,7 @@ n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 voc AS (
   SELECT source, term, df, n FROM (
     SELECT source, term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY ALL) JOIN n USING (source)
-  WHERE df <= 0.95::DOUBLE * n
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY total DESC, term) <= 5000),
+  WHERE df <= 0.95::DOUBLE * n),
 raw AS (SELECT source, doc_id, term, tf * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN voc USING (source, term)),
 vec AS (SELECT source, doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw),
 newest AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, doc_id DESC) AS r,
@@ -311,7 +311,7 @@ def statements() -> dict[str, str]:
         "anchor_links": f"WITH {LINKS} SELECT * FROM links",
         "capped_links": f"""WITH {LINKS} SELECT {host('url')} AS source, title, url, page_id * 100000 + pos AS pos FROM links
             QUALIFY row_number() OVER (PARTITION BY {host('url')} ORDER BY page_id, pos, url) <= {P['links_per_source']}""",
-        "seen_state": f"{A} SELECT url, {fingerprint('title', 'content', 'url')} AS content_fingerprint FROM articles",
+        "seen_state": f"{A} SELECT url, {fingerprint('title', 'content', 'url', None)} AS content_fingerprint FROM articles",
         "unseen_pages": f"""SELECT page_id, url FROM pages WHERE url NOT IN (
             SELECT url FROM pages WHERE {host('url')} LIKE 'blog.%')""",
         "fallback_rows": f"{A} SELECT title, quality_score FROM articles",

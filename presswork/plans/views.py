@@ -39,7 +39,7 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
         F.lit("").alias("image_url"),
         leading_text("content").alias("ai_summary"),
         F.when(F.col("title") != F.col("content"), quality_score("title", "content")).alias("quality_score"),
-        fingerprint("title", "content", "url").alias("content_fingerprint"),
+        fingerprint("title", "content", "url", None).alias("content_fingerprint"),
         F.get(strategies, (F.col("doc_id") % 6).cast("int")).alias("extraction_strategy"),
         "created_at",
         F.to_date("created_at").alias("created_date"),

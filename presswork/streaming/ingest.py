@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.collect import collect_run
+from ..plans.collect import collect_run, save_run
 from ..schemas import ARTICLE
+from ..sinks.key_index import KeyIndex
 from ..sources.registry import SOURCES, Source
 
 
@@ -28,23 +29,26 @@ def stored_batches(spark, path: str, before: int | None = None) -> DataFrame:
 
 def ingest_pages(
     pages: DataFrame, path: str, checkpoint: str, run_ts, order: str = "page_id",
-    sources: Sequence[Source] = SOURCES, **trigger,
+    sources: Sequence[Source] = SOURCES, near_copies: bool = False, compact_every: int = 50, **trigger,
 ) -> StreamingQuery:
     """Append new articles of a page stream to ``path``.
 
-    Each micro-batch is a collection run against what earlier batches stored.
-    It overwrites its own ``batch=`` folder, so a batch repeated after a
-    failure writes the same rows once.
+    Each micro-batch is a collection run against the keys of what earlier
+    batches stored, kept in ``<path>_keys``: no batch reads article folders, and
+    of the keys only the buckets it asks for.  A batch overwrites its own
+    ``batch=`` folder and keys, so one repeated after a failure stores the same
+    rows once.  Every ``compact_every`` batches the keys of older batches are
+    folded into one part.  Near copies are compared within a batch only if
+    asked for (``near_copies``); titles are remembered over all batches, as the
+    stream is one run.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = stored_batches(spark, path, before=batch_id)
-        # The stream is one run: titles are remembered over its batches as they are within one.
-        run = collect_run(batch, run_ts, order, stored, sources, stored_keys=("title_hash", "content_fingerprint"))
-        (
-            run.articles.select(*[F.col(f.name).cast(f.dataType) for f in ARTICLE.fields])
-            .write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        )
+        index = KeyIndex(batch.sparkSession, f"{path.rstrip('/')}_keys")
+        run = collect_run(batch, run_ts, order, index, sources, near_copies, stored_keys=("title_hash", "content_fingerprint"), part=batch_id)
+        save_run(run, path, batch_id, run_ts, index)
+        if batch_id and batch_id % compact_every == 0:
+            index.compact(before=batch_id)
+            index.forget_old()
 
     return (
         pages.writeStream.foreachBatch(write)

@@ -33,7 +33,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from presswork.sources.pages import top_rows
 
 from .common import landed, worker_slot
 
@@ -148,9 +150,8 @@ def scored_triples(long: DataFrame, short: DataFrame) -> DataFrame:
 
 
 def _best(rows: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` of each language, with their place."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    """The first ``n`` of each language, with their place; found in salted parts first, so a hot language fills no task."""
+    return top_rows(rows, ["lang"], [F.desc("score"), F.desc("a"), F.col("phrase")], n, "place")
 
 
 def _thresholds(pairs: DataFrame, wanted: DataFrame) -> DataFrame:

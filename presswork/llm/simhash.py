@@ -4,21 +4,27 @@ A fingerprint has a bit for each of 64 hash bits that more than half of a
 text's word shingles have.  Texts whose fingerprints differ in at most three
 bits are linked, and linked groups are found as connected components.
 
-Search: of four 16-bit quarters, two fingerprints within three bits have one in
-common, so each fingerprint is dealt out four times, once per quarter; a group
-of equal quarters that is too large for a task is dealt out again by parts of
-the remaining bits, and so on.  Inside a task, the fingerprints of a group are
-sorted by the Gray rank of their bits: neighbours then share long masked bit
-patterns.  Runs of eight are joined into a node that keeps the bits all have in
-common (mask and pattern), eight nodes into an upper node, and so on.  A query
-goes down from the top and drops a whole node once its difference from the
-node's pattern exceeds three bits.
+Index: all distinct fingerprints are sorted by the rank of their bits in the
+Gray sequence, so that neighbours share long masked bit patterns.  The order is
+cut into ranges.  A run of eight fingerprints is a node that keeps the bits all
+have in common (mask and pattern), eight nodes an upper node that takes over the
+bits they share, and so on to the top; ranges are nodes of this tree as well, and
+those above them are the upper part of the index.
+
+Search: every fingerprint goes down from the top.  Each node adds the differences
+in the bits that it knows and its parent did not; a node whose sum exceeds three
+is dropped with all below it.  The upper part decides which ranges a fingerprint
+is sent to, never one before its own, and each range goes on down to fingerprints.
 
 Scale: only distinct fingerprints are searched, with their smallest id formed
-before the shuffle.  Of the links in a task only a spanning forest leaves it,
-at most one link per fingerprint, so a large group of near copies does not
-become pairs.  Components are contracted in rounds whose number grows with the
-logarithm of their size; every round is written to the shared folder.
+before the shuffle.  The upper part is sent to all tasks: at most ``NODES``
+ranges, however many fingerprints, as ranges then grow.  With n fingerprints
+about (log n) ** 3 / 6 nodes are met by each, and ranges by less.  A range that
+very many fingerprints are sent to is copied for each ``ASKING`` of them.  A group
+of fingerprints within three bits of one has at most 43,745 members.  Of the links in
+a task only a spanning forest leaves it.  Components are contracted in rounds
+whose number grows with the logarithm of their size; every round is written to
+the shared folder.
 
 Edge cases: null and blank texts have fingerprint zero and are linked as any
 other; repeated rows have one fingerprint; null ids are passed over when a
@@ -31,7 +37,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import landed, strings, worker_slot
@@ -39,13 +44,13 @@ from .common import landed, strings, worker_slot
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE = 3
 NEAR = 3
-#: Fingerprints that one group may hold before it is dealt out by further bits.
-GROUP_ROWS = 20_000
-#: Query and node pairs looked at together.
-FRONTIER = 2_000_000
 FANOUT = 8
-#: How often a group may be dealt out; after three times, 37 of the 64 bits agree.
-DEPTHS = 3
+#: Fingerprints in a range, about, unless that makes more than so many ranges.
+RANGE_ROWS, NODES = 32_768, 200_000
+#: Fingerprints sent to one copy of a range.
+ASKING = 1_000_000
+#: Query and node pairs looked at together.
+FRONTIER = 1_000_000
 
 _UPPER = re.compile("[A-Z]+")
 
@@ -92,56 +97,57 @@ def gray_rank(values: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of (mask, pattern) nodes over words sorted by group and Gray rank.
+    """A tree of (mask, pattern) nodes over leaves in Gray order; a leaf has a mask, too.
 
-    Nodes never cross a group, and a node is the run [first, last) of the level below.
+    ``visited`` and ``dropped`` count the nodes met and those dropped with all below them.
     """
 
-    def __init__(self, words: np.ndarray, groups: np.ndarray):
-        self.words = words
-        starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
-        self.group_of = np.cumsum(np.r_[False, groups[1:] != groups[:-1]])
-        full = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
-        self.levels = [(full, words, None, None)]
-        owner = self.group_of
-        while True:
-            sizes = np.bincount(owner, minlength=len(starts))
-            if sizes.max(initial=0) <= 1:
-                break
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            at = np.arange(len(owner)) - begin[owner]
-            first = np.flatnonzero(at % FANOUT == 0)
-            last = np.r_[first[1:], len(owner)]
-            mask, pattern = self.levels[-1][:2]
-            # Bits stay in the mask where all members have them and agree.
-            all_and = np.bitwise_and.reduceat(pattern & mask, first)
-            all_or = np.bitwise_or.reduceat(pattern & mask, first)
+    def __init__(self, patterns: np.ndarray, masks: np.ndarray | None = None):
+        full = np.full(len(patterns), np.iinfo(np.uint64).max, np.uint64) if masks is None else masks
+        #: From the leaves up: masks, patterns, and where a node's children begin in the level below.
+        self.levels = [(full, patterns & full, None)]
+        while len(self.levels[-1][0]) > 1:
+            mask, pattern, _ = self.levels[-1]
+            first = np.arange(0, len(mask), FANOUT)
+            # Bits stay in the mask where all children know them and agree.
+            all_and, all_or = np.bitwise_and.reduceat(pattern, first), np.bitwise_or.reduceat(pattern, first)
             shared = np.bitwise_and.reduceat(mask, first) & ~(all_and ^ all_or)
-            self.levels.append((shared, all_and & shared, first, last))
-            owner = owner[first]
-        #: The top node of each group.
-        self.top = np.arange(len(starts))
-        self.sizes = np.bincount(self.group_of, minlength=len(starts))
-
-    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i, j), i < j, of one group within ``NEAR`` bits, in bounded lots."""
-        cost = np.cumsum(self.sizes[self.group_of])
-        at = 0
-        while at < len(self.words):
-            end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + FRONTIER)))
-            query = np.arange(at, end)
-            node = self.top[self.group_of[query]]
-            for depth in range(len(self.levels) - 1, 0, -1):
-                _, _, first, last = self.levels[depth]
-                width = last[node] - first[node]
-                query = np.repeat(query, width)
-                node = np.repeat(first[node], width) + np.arange(len(query)) - np.repeat(np.cumsum(width) - width, width)
-                mask, pattern = self.levels[depth - 1][:2]
-                near = np.bitwise_count((self.words[query] ^ pattern[node]) & mask[node]) <= NEAR
-                query, node = query[near], node[near]
-            later = node > query
-            yield query[later], node[later]
-            at = end
+            self.levels.append((shared, all_and & shared, first))
+        self.visited = self.dropped = 0
+
+    def near(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, leaf) pairs that differ in at most ``NEAR`` known bits, in bounded lots."""
+        if not len(self.levels[0][0]):
+            return
+        top = len(self.levels) - 1
+        mask, pattern, _ = self.levels[top]
+        step = max(1, FRONTIER // FANOUT)
+        for at in range(0, len(words), step):
+            query = np.arange(at, min(at + step, len(words)))
+            self.visited += len(query)
+            seen = np.bitwise_count((words[query] ^ pattern[0]) & mask[0])
+            close = seen <= NEAR
+            self.dropped += int((~close).sum())
+            yield from self._down(words, top, query[close], np.zeros(int(close.sum()), np.int64), seen[close])
+
+    def _down(self, words, depth, query, node, seen) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not depth:
+            yield query, node
+            return
+        above, _, first = self.levels[depth]
+        mask, pattern, _ = self.levels[depth - 1]
+        step = max(1, FRONTIER // FANOUT)
+        for at in range(0, len(query), step):
+            q, n, s = query[at:at + step], node[at:at + step], seen[at:at + step]
+            width = np.minimum(first[n] + FANOUT, len(mask)) - first[n]
+            child = np.repeat(first[n], width) + np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+            q, parent = np.repeat(q, width), np.repeat(n, width)
+            # Only the bits that the parent did not know are new.
+            sum_ = np.repeat(s, width) + np.bitwise_count((words[q] ^ pattern[child]) & (mask[child] & ~above[parent]))
+            close = sum_ <= NEAR
+            self.visited += len(child)
+            self.dropped += int((~close).sum())
+            yield from self._down(words, depth - 1, q[close], child[close], sum_[close])
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -159,68 +165,72 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         np.minimum.at(label, high, low)
 
 
-def near_links(keyed: DataFrame) -> DataFrame:
-    """A spanning forest (a, b) of the links inside each group of ``keyed`` (key, fp)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        worker_slot("simhash")
-        parts = [(b["key"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64)) for b in batches]
-        if not parts:
-            return
-        keys, words = np.concatenate([k for k, _ in parts]), np.concatenate([w for _, w in parts])
-        if not len(keys):
-            return
-        order = np.lexsort((gray_rank(words), keys))
-        keys, words = keys[order], words[order]
-        label = np.arange(len(words))
-        for a, b in GrayIndex(words, keys).links():
-            _merge(label, a, b)
-        for _ in range(64):
-            label = label[label]
-        joined = np.flatnonzero(label != np.arange(len(label)))
-        signed = words.view(np.int64)
-        for at in range(0, len(joined), 100_000):
-            part = joined[at:at + 100_000]
-            yield pd.DataFrame({"a": signed[part], "b": signed[label[part]]})
+def gray_order(fp: Column) -> Column:
+    """A long that sorts fingerprints (longs) by Gray rank."""
+    out = fp
+    for shift in (1, 2, 4, 8, 16, 32):
+        out = out.bitwiseXOR(F.shiftrightunsigned(out, shift))
+    return out.bitwiseXOR(F.lit(-1 << 63))
 
-    return keyed.mapInPandas(run, "a bigint, b bigint")
 
+def _sent(ranged: DataFrame, nodes: list[tuple[int, int, int]]) -> DataFrame:
+    """(place, fp): the ranges, by the upper part of the index, that each (place, fp) is to look into."""
+    places = np.array([n[0] for n in nodes], np.int64)
+    masks, patterns = (np.array([n[k] for n in nodes], np.int64).view(np.uint64) for k in (1, 2))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _key(bits: list[int], fp: Column, salt: Column) -> Column:
-    mask = sum(1 << b for b in bits)
-    mask = mask - (1 << 64) if mask >> 63 else mask
-    return F.xxhash64(salt, fp.bitwiseAND(F.lit(mask)))
+        worker_slot("simhash")
+        upper = GrayIndex(patterns, masks)
+        for batch in batches:
+            own, words = batch.column("place").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            for query, leaf in upper.near(words):
+                ahead = places[leaf] >= own[query]
+                yield pa.RecordBatch.from_arrays([pa.array(places[leaf[ahead]]), pa.array(words[query[ahead]].view(np.int64))], names=["place", "fp"])
+
+    return ranged.mapInArrow(run, "place bigint, fp bigint")
+
+
+def _forest(left, right):
+    """A spanning forest (a, b) of the links between a range and the fingerprints sent to it."""
+    import pyarrow as pa
+
+    worker_slot("simhash")
+    held, asked = (t.column("fp").combine_chunks().to_numpy().view(np.uint64) for t in (left, right))
+    if not len(held) or not len(asked):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    held = held[np.argsort(gray_rank(held))]
+    # One number for equal fingerprints, whichever side they are on.
+    words, number = np.unique(np.concatenate([held, asked]), return_inverse=True)
+    label = np.arange(len(words))
+    for query, leaf in GrayIndex(held).near(asked):
+        a, b = number[len(held) + query], number[leaf]
+        apart = a != b
+        _merge(label, a[apart], b[apart])
+    while not np.array_equal(label[label], label):
+        label = label[label]
+    joined = np.flatnonzero(label != np.arange(len(label)))
+    signed = words.view(np.int64)
+    return pa.table({"a": pa.array(signed[joined]), "b": pa.array(signed[label[joined]])})
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect what lies within ``NEAR`` bits among the distinct ``fp``."""
-    found = None
-    # Each row carries which quarters it was dealt out by; a quarter of the free bits at each depth.
-    todo, plans = fps.select("fp", F.lit(0).alias("way"), F.lit(0).cast("long").alias("within")), {0: list(range(64))}
-    for depth in range(DEPTHS):
-        ways, nexts = [], {}
-        for way, free in plans.items():
-            size = len(free) // (NEAR + 1)
-            for k in range(NEAR + 1):
-                cut = free[k * size:(k + 1) * size] if k < NEAR else free[k * size:]
-                nexts[way * (NEAR + 1) + k] = [b for b in free if b not in cut]
-                ways.append((way, way * (NEAR + 1) + k, cut))
-        entries = [F.when(F.col("way") == way, F.struct(
-            F.lit(new).alias("way"), _key(cut, F.col("fp"), F.xxhash64(F.lit(new), F.col("within"))).alias("key")))
-            for way, new, cut in ways]
-        keyed = todo.select("fp", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("fp", "e.way", "e.key")
-        plans = nexts
-        if depth < DEPTHS - 1:
-            keyed = landed(keyed, "simhash-keys")
-            large = landed(keyed.groupBy("key").count().filter(F.col("count") > GROUP_ROWS).select("key"), "simhash-large")
-            small = keyed.join(large, "key", "left_anti")
-        else:
-            small, large = keyed, None
-        step = near_links(small.select("key", "fp").repartition("key"))
-        found = step if found is None else found.union(step)
-        if large is None or large.isEmpty():
-            break
-        todo = keyed.join(large, "key", "left_semi").select("fp", "way", F.col("key").alias("within"))
-    return found
+    n = fps.count()
+    ranges = max(1, n // max(RANGE_ROWS, n // NODES))
+    ordered = fps.select("fp", gray_order(F.col("fp")).alias("rank")).repartitionByRange(ranges, "rank")
+    ranged = landed(ordered.select(F.spark_partition_id().cast("long").alias("place"), "fp"), "simhash-ranges")
+    shared = F.bitwise_not(F.bit_and("fp").bitwiseXOR(F.bit_or("fp")))
+    # One row for each range; the rank, not the number, puts them in order.
+    nodes = ranged.groupBy("place").agg(shared.alias("mask"), F.bit_and("fp").alias("pattern"), F.min(gray_order(F.col("fp"))).alias("rank"))
+    upper = sorted(((r["rank"], r["place"], r["mask"], r["pattern"]) for r in nodes.collect()))
+    sent = landed(_sent(ranged.repartition(max(ranges, fps.sparkSession.sparkContext.defaultParallelism)), [u[1:] for u in upper]), "simhash-sent")
+    copies = sent.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("copies"))
+    asked = sent.join(copies, "place").select("place", F.pmod(F.xxhash64("fp"), F.col("copies")).alias("copy"), "fp")
+    held = ranged.join(copies, "place").select(
+        F.col("place").alias("place"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("fp").alias("fp"))
+    return held.groupBy("place", "copy").cogroup(asked.groupBy("place", "copy")).applyInArrow(_forest, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -95,10 +95,11 @@ def test_simhash_equals_brute_force(spark, corpus):
         assert got[r[0]]["component_id"] == rows[want[k]][0]
 
 
-@pytest.mark.parametrize("limit", [20_000, 30])
-def test_links_connect_what_is_near(spark, monkeypatch, limit):
-    """Clusters, chains and common quarters; a small limit deals large groups out again."""
-    monkeypatch.setattr(simhash, "GROUP_ROWS", limit)
+@pytest.mark.parametrize("rows, asking", [(32_768, 1_000_000), (16, 1_000_000), (16, 7)])
+def test_links_connect_what_is_near(spark, monkeypatch, rows, asking):
+    """Clusters, chains and common quarters; one range, many ranges, and copies of ranges."""
+    monkeypatch.setattr(simhash, "RANGE_ROWS", rows)
+    monkeypatch.setattr(simhash, "ASKING", asking)
     rnd = random.Random(5)
     words = {rnd.getrandbits(64) for _ in range(60)}
     centre = rnd.getrandbits(64)
@@ -117,6 +118,25 @@ def test_links_connect_what_is_near(spark, monkeypatch, limit):
     assert len({(a, b) for a, b in zip(got, want)}) == len(set(got)) == len(set(want))
 
 
+def test_the_index_drops_groups_and_loses_nothing(monkeypatch):
+    """Differences are added up on the way down; whole nodes go, and what is near stays."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)
+    near = words[:50] ^ np.uint64(0b1011 << 20)
+    words = np.unique(np.concatenate([words, near]))
+    words = words[np.argsort(simhash.gray_rank(words))]
+    asked = np.concatenate([near, rng.integers(0, 1 << 63, 150, dtype=np.uint64)])
+    want = {(q, int(w)) for q in range(len(asked)) for w in np.flatnonzero(np.bitwise_count(words ^ asked[q]) <= 3)}
+    for frontier in (1_000_000, 64):
+        monkeypatch.setattr(simhash, "FRONTIER", frontier)
+        index = simhash.GrayIndex(words)
+        found = [(int(q), int(w)) for a, b in index.near(asked) for q, w in zip(a, b)]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) >= 100
+        # Far fewer nodes are met than there are fingerprints, let alone nodes of all levels.
+        assert index.visited < 0.6 * len(asked) * len(words) and index.dropped > 0.8 * index.visited
+    assert not list(simhash.GrayIndex(words[:0]).near(asked)) and list(simhash.GrayIndex(words[:1]).near(words[:1]))
+
+
 def test_simhash_of_odd_rows(spark, corpus):
     rows = [*corpus.rows[:5], corpus.rows[0], (None, corpus.rows[0][1], None, None, None), (None, None, None, None, None)]
     kept = [(r["doc_id"], r["text"] is None) for r in simhash.one_of_each(corpus.frame(spark, rows)).collect()]

@@ -1,18 +1,23 @@
 """Exact top-k inner-product search with KD-trees per shard.
 
-Vectors become integers (floor(256 x)).  A shard holds at most about
-``shard_rows`` vectors: shards are the leaves of a tree of median splits fitted
-on a bounded sample, and a leaf that gets more rows is divided by hash.  Each
-shard builds a KD-tree with median splits on the widest side and tight bounding
-boxes.  A query visits boxes best first, by the highest inner product a box
-allows, and stops at the first box that cannot reach its kth score.  It starts
-in the shard it belongs to; the kth score found there goes with it to the other
-shards, so most of them are dropped at their root box.
+Vectors become integers (floor(256 x)).  A shard holds about ``shard_rows``
+vectors, or a ``SHARDS``-th of all if that is more: shards are the leaves of a
+tree of median splits fitted on a bounded sample, and each leaf that gets more
+rows is divided by hash, by its own count.  Each shard builds a KD-tree with
+median splits on the widest side and tight bounding boxes.  A query visits boxes
+best first, by the highest inner product a box allows, and stops at the first
+box that cannot reach its kth score.
+
+A query starts in the shard it belongs to.  The kth score found there drops all
+shards whose root box cannot reach it before anything moves.  Of the others the
+most promising are asked first (``FIRST``), and only what their kth score leaves
+over is asked then.
 
 Ties go to smaller ids, so a box that can only equal the kth score is visited.
 
 Scale: shards and queries stream through the tasks: a task holds one shard and
-one batch of queries.  Of equal vectors only the ``k + 1`` smallest ids are
+one batch of queries.  All tasks get the root boxes, two vectors for each of at
+most about ``2 * SHARDS`` shards.  Of equal vectors only the ``k + 1`` smallest ids are
 kept, formed before the shuffle, and equal queries are asked once; so a vector
 that a third of all rows share stays a handful of rows.
 
@@ -28,13 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import landed
 
 K = 5
-#: Rows of a shard, about; raise it with the table, as each query goes to each shard once.
-SHARD_ROWS = 4096
+#: Rows of a shard, about, unless that makes more than so many shards.
+SHARD_ROWS, SHARDS = 4096, 10_000
+#: Shards that a query asks before all others, besides its own.
+FIRST = 8
 #: Rows that the split planes of the shards are fitted on, at most.
 SAMPLE_ROWS = 8192
 LEAF_ROWS = 64
@@ -163,6 +170,52 @@ def _search_shards(rows: DataFrame, k: int) -> DataFrame:
     return placed.mapInPandas(run, _FOUND)
 
 
+def _root_boxes(shards: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each vector length: shards, and the lowest and highest components in each."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for (shard, d), part in batch.groupby(["shard", "d"], sort=False):
+                v = np.stack(part["v"].to_list())
+                found.append((shard, d, v.min(axis=0), v.max(axis=0)))
+            yield pd.DataFrame(found, columns=["shard", "d", "low", "high"])
+
+    # A shard lies in one task and in few batches, so there is about one row for each.
+    together = shards.select("shard", "d", "v").repartition("shard").sortWithinPartitions("shard")
+    boxes: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    for r in together.mapInPandas(run, "shard bigint, d int, low array<bigint>, high array<bigint>").toLocalIterator():
+        low, high = np.array(r["low"], float), np.array(r["high"], float)
+        of_length = boxes.setdefault(r["d"], {})
+        if r["shard"] in of_length:
+            low, high = np.minimum(low, of_length[r["shard"]][0]), np.maximum(high, of_length[r["shard"]][1])
+        of_length[r["shard"]] = (low, high)
+    return {d: (np.array(list(b), np.int64), np.stack([x for x, _ in b.values()]), np.stack([y for _, y in b.values()])) for d, b in boxes.items()}
+
+
+def _sent(queries: DataFrame, boxes: dict, first: int, last: int | None) -> DataFrame:
+    """(shard, qkey, v, floor): ``queries`` (qkey, v, d, home, floor) for their shards from place ``first`` to ``last``, best box
+    first, of those whose box reaches the floor; the home shard is none of them."""
+    sent = queries.sparkSession.sparkContext.broadcast(boxes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                found = []
+                for key, v, d, home, floor in batch.iloc[at:at + 64][["qkey", "v", "d", "home", "floor"]].itertuples(index=False):
+                    if d not in sent.value:
+                        continue
+                    shards, low, high = sent.value[d]
+                    q = np.asarray(v, np.float64)
+                    reach = high @ np.maximum(q, 0) + low @ np.minimum(q, 0)
+                    order = np.argsort(-reach, kind="stable")
+                    order = order[shards[order] != home][first:last]
+                    found += [(s, key, v, floor) for s in shards[order[reach[order] >= floor]]]
+                if found:
+                    yield pd.DataFrame(found, columns=["shard", "qkey", "v", "floor"])
+
+    return queries.select("qkey", "v", "d", "home", "floor").mapInPandas(run, "shard bigint, qkey bigint, v array<bigint>, floor double")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
           shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other vectors."""
@@ -173,11 +226,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     rows = landed(distinct.select("vec_id", "v", F.size("v").alias("d")), "vectors")
     asked = quantised(queries, id_col, vector_col)
     n = rows.count()
+    shard_rows = max(shard_rows, n // SHARDS)
     depth = int(np.ceil(np.log2(max(1, min(n / shard_rows, SAMPLE_ROWS / 8)))))
     sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE_ROWS).select("v").collect()]
     width = max(map(len, sample), default=1)
     splits = fit_splits(np.array([v for v in sample if len(v) == width], np.float64).reshape(-1, width), depth)
-    parts = int(max(1, n // (shard_rows * 2 ** depth)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -187,33 +240,40 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
                 leaf[own] = _leaf_of(np.stack(batch["v"][own].to_list()), splits)
             yield batch.assign(leaf=leaf)
 
-    placed = rows.mapInPandas(place, "vec_id bigint, v array<bigint>, d int, leaf bigint")
+    def placed(df: DataFrame) -> DataFrame:
+        return df.mapInPandas(place, "vec_id bigint, v array<bigint>, d int, leaf bigint")
+
+    leaved = landed(placed(rows), "leaves")
+    parts = leaved.groupBy("d", "leaf").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("parts"))
 
-    def shard_key(leaf: Column, part: Column) -> Column:
-        return F.xxhash64("d", leaf.cast("long"), part.cast("long"))
+    def sharded(df: DataFrame) -> DataFrame:
+        """With the shard: the leaf, and a part of it that the id decides."""
+        part = F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1).cast("long")))
+        return df.join(parts, ["d", "leaf"], "left").select("vec_id", "v", "d", F.xxhash64("d", "leaf", part).alias("shard"))
 
-    by_id = shard_key(F.col("leaf"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    shards = landed(placed.withColumn("shard", by_id), "shards")
+    shards = landed(sharded(leaved), "shards")
+    boxes = _root_boxes(shards)
     # Equal queries are asked once, under the hash of their vector and the vector itself.
-    distinct_q = asked.select("v").distinct().select(F.xxhash64("v").alias("qkey"), "v", F.size("v").alias("d"))
-    keyed = landed(distinct_q, "queries")
-    homes = keyed.select(F.col("qkey").alias("vec_id"), "v", "d").mapInPandas(place, "vec_id bigint, v array<bigint>, d int, leaf bigint")
+    distinct_q = asked.select("v").distinct().select(F.xxhash64("v").alias("vec_id"), "v", F.size("v").alias("d"))
     tree_rows = shards.select("shard", F.lit(0).alias("kind"), F.col("vec_id").alias("id"), "v", F.lit(float("-inf")).alias("floor"))
+    homed = landed(sharded(placed(distinct_q)).select(F.col("vec_id").alias("qkey"), "v", "d", F.col("shard").alias("home")), "homed")
+
+    def hits(queries: DataFrame, label: str) -> DataFrame:
+        rows_ = queries.select("shard", F.lit(1).alias("kind"), F.col("qkey").alias("id"), "v", "floor")
+        return landed(_search_shards(tree_rows.join(queries.select("shard").distinct(), "shard", "left_semi").union(rows_), k + 1), label)
+
+    def with_floor(found: DataFrame) -> DataFrame:
+        """The queries with their kth best score so far."""
+        kth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k))
+        floors = found.groupBy("qkey").agg(kth.alias("kth"))
+        return homed.join(floors, "qkey", "left").select("qkey", "v", "d", "home", F.coalesce("kth", F.lit(float("-inf"))).alias("floor"))
 
-    def query_rows(df: DataFrame) -> DataFrame:
-        return df.select("shard", F.lit(1).alias("kind"), F.col("qkey").alias("id"), "v", "floor")
-
-    homed = landed(homes.select(F.col("vec_id").alias("qkey"), "v", "d", by_id.alias("shard"), F.lit(float("-inf")).alias("floor")), "homed")
-    near = landed(_search_shards(tree_rows.union(query_rows(homed)), k + 1), "home-hits")
-    floors = near.groupBy("qkey").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("kth"))
-    # The stated queries against all other shards of their length; a shard without rows answers nothing.
-    others = homed.join(floors, "qkey", "left").select(
-        "qkey", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("floor"), F.col("shard").alias("home"), "d",
-        F.explode(F.sequence(F.lit(0), F.lit(2 ** depth * parts - 1))).alias("at")
-    ).withColumn("shard", shard_key(F.floor(F.col("at") / parts), F.col("at") % parts)).filter("shard <> home")
-    far = _search_shards(tree_rows.union(query_rows(others)), k + 1)
-    found = near.union(far)
+    near = hits(homed.select("qkey", "v", F.col("home").alias("shard"), F.lit(float("-inf")).alias("floor")), "home-hits")
+    ahead = hits(landed(_sent(with_floor(near), boxes, 0, FIRST), "first-asked"), "first-hits")
     best = Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id")
+    so_far = near.union(ahead).withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1).drop("at")
+    far = hits(landed(_sent(with_floor(so_far), boxes, FIRST, None), "then-asked"), "then-hits")
+    found = so_far.union(far)
     top = found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1)
     lists = top.groupBy("qkey").agg(F.sort_array(F.collect_list(F.struct("at", "vec_id", "score"))).alias("hits"))
     per_query = asked.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("qkey")).distinct().join(lists, "qkey")

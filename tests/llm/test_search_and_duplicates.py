@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from presswork.llm import kd_search, line_dedup, simhash, suffix_dedup
@@ -59,6 +60,28 @@ def test_tree_visits_ties():
         assert sorted((-s, i) for s, i in tree.search(q, 4, float("-inf"))) == want
 
 
+def test_an_overfull_leaf_is_divided(spark, monkeypatch):
+    """Near-equal vectors that tie on every split dimension make one leaf and several shards."""
+    sizes = []
+    search = kd_search._search_shards
+
+    def seen(rows, k):
+        sizes.append(rows.filter("kind = 0").groupBy("shard").count().agg(F.max("count")).first()[0])
+        return search(rows, k)
+
+    monkeypatch.setattr(kd_search, "_search_shards", seen)
+    rnd = random.Random(7)
+    rows = [(i, [0.5, 0.5, 0.5, i / 4096]) for i in range(1500)] + [(2000 + i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in kd_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"), shard_rows=60).collect()}
+    whole = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    ids = np.array([i for i, _ in rows])
+    for q in np.flatnonzero(ids % 50 == 0):
+        order = sorted((-int(s), int(i)) for s, i in zip(whole @ whole[q], ids) if i != ids[q])[:5]
+        assert [got[int(ids[q]), r + 1] for r in range(5)] == [(i, -s) for s, i in order]
+    assert max(filter(None, sizes)) < 200
+
+
 # ------------------------------------------------------------- 2: SimHash
 
 def slow_fingerprint(text):

@@ -25,6 +25,7 @@ from presswork.operators import dedupe as dd, health, paragraphs, reports, searc
 from presswork.operators.extract import (  # noqa: E402
     choose_strategy, extract_articles, extraction_metrics, gate,
 )
+from presswork.operators.gram_index import GramIndex, indexed_search  # noqa: E402
 from presswork.operators.near_vectors import CosineSimilar, earlier_matches  # noqa: E402
 from presswork.operators.tfidf import best_stored_match, tfidf_similar, tfidf_vectors  # noqa: E402
 from presswork.plans import views  # noqa: E402
@@ -425,6 +426,14 @@ def article_search(spark, sf):
     return found.drop("content").withColumnRenamed("description", "summary")
 
 
+def indexed_article_search(spark, sf):
+    """The same search over the postings of all articles."""
+    index, articles = GramIndex(spark, fresh_path(spark, "grams")), durable(_articles_spread(spark, sf))
+    index.add(articles, 0)
+    found = indexed_search(articles, index, P["search"]["limit"], P["search"]["offset"], **(_conditions() | {"query": P["search"]["long_query"]}))
+    return found.drop("content").withColumnRenamed("description", "summary")
+
+
 def search_page_info(spark, sf):
     return srch.page_info(_articles(spark, sf), P["search"]["limit"], P["search"]["offset"], **_conditions())
 
@@ -486,7 +495,25 @@ def stream_latest_status(spark, sf):
     out = fresh_path(spark, "status")
     (views.status_from_events(_event_stream(spark, sf)).writeStream.foreachBatch(state.status_writer(out))
      .option("checkpointLocation", fresh_path(spark, "status-state")).trigger(availableNow=True).start().awaitTermination())
-    return state.stored_status(spark, out, "event_id")
+    return state.stored_status(spark, out)
+
+
+def _late_events(spark, sf) -> str:
+    """Events that arrive up to ``event_lag_s`` seconds after their time."""
+    out = fresh_path(spark, "events")
+    arrived = (F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") * 7919 % P["event_lag_s"]) * 10_000_000 + F.col("event_id")
+    ingest.ingest_events(_event_stream(spark, sf).withColumn("arrived", arrived), out, fresh_path(spark, "events-state"), P["event_keys"],
+                         "arrived", "ts", P["event_delay_s"]).awaitTermination()
+    return out
+
+
+def stream_first_events(spark, sf):
+    """The first event of each user and kind that was not late."""
+    return _ntz(ingest.stored_events(spark, _late_events(spark, sf), _events(spark, sf).schema)).select("event_id", "user_id", "event_type", "ts")
+
+
+def stream_late_events(spark, sf):
+    return _ntz(ingest.stored_events(spark, _late_events(spark, sf), _events(spark, sf).schema, late=True)).select("event_id", "user_id", "event_type", "ts")
 
 
 def stream_ingest(spark, sf):
@@ -638,6 +665,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quality_gate": lambda s, d: gate(paragraphs.quick_articles(_pages(s, d))).select("page_id", "quality_score"),
         "export_threshold": lambda s, d: _articles(s, d).filter(export_threshold("quality_score", 0.7)).select("doc_id", "quality_score"),
         "article_search": article_search,
+        "indexed_article_search": indexed_article_search,
         "search_page_info": search_page_info,
         "next_search_page": next_search_page,
         # duplicates
@@ -691,6 +719,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_admissions": stream_admissions,
         "stream_source_health": stream_source_health,
         "stream_latest_status": stream_latest_status,
+        "stream_first_events": stream_first_events,
+        "stream_late_events": stream_late_events,
         "stream_ingest": stream_ingest,
     }
 

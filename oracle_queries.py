@@ -10,7 +10,11 @@ PARAMETERS = {
     "doc_sources": ["src0", "src1", "src2", "src3", "src4"],
     "links_per_source": 5,
     "stored_lang": "en",
+    "event_keys": ["user_id", "event_type"],
+    "event_lag_s": 20_000,
+    "event_delay_s": 9_000,
     "search": {
+        "long_query": "tion%ing o",
         "sources": ["src1", "src2", "src3"], "quality_min": 0.7, "query": "th%r",
         "date_from": "2024-01-01 01:00:00", "date_to": "2024-01-01 12:00:00", "limit": 20, "offset": 5,
     },
@@ -205,6 +209,10 @@ single AS (SELECT doc_id, unnest(ss) AS s, unnest(range(len(ss))) AS i FROM spli
 scored AS (SELECT doc_id, s, i, {_N} AS n, {_SCORE} AS score FROM single)"""
 
 MICRO_TEXT = "text"
+LATE = f"""WITH arrivals AS (
+  SELECT *, (epoch_us(ts) // 1000000 + event_id * 7919 % {P['event_lag_s']}) * 10000000 + event_id AS arrived FROM events),
+marked AS (SELECT *, coalesce(epoch_us(ts) < max(epoch_us(ts)) OVER (ORDER BY arrived ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  - {P['event_delay_s'] * 1_000_000}, false) AS late FROM arrivals)"""
 
 
 def _vectors():
@@ -389,6 +397,8 @@ def statements() -> dict[str, str]:
         "export_threshold": f"{A} SELECT doc_id, quality_score FROM articles WHERE coalesce(quality_score, 0) >= 0.7::DOUBLE",
         "article_search": f"""{A} SELECT title, ai_summary AS summary, url AS redirect_url, source, image_url, created_at AS published_date, news_id
             FROM articles WHERE {search_where} ORDER BY created_at DESC, news_id LIMIT {s['limit']} OFFSET {s['offset']}""",
+        "indexed_article_search": f"""{A} SELECT title, ai_summary AS summary, url AS redirect_url, source, image_url, created_at AS published_date, news_id
+            FROM articles WHERE {search_where.replace(s['query'], s['long_query'])} ORDER BY created_at DESC, news_id LIMIT {s['limit']} OFFSET {s['offset']}""",
         "search_page_info": f"""{A} SELECT {s['limit']} AS "limit", {s['offset']} AS "offset", count(*) AS total,
             {s['limit'] + s['offset']} < count(*) AS has_more,
             CASE WHEN {s['limit'] + s['offset']} < count(*) THEN {s['limit'] + s['offset']} END AS next_offset FROM articles WHERE {search_where}""",
@@ -499,6 +509,9 @@ def statements() -> dict[str, str]:
         "stream_admissions": f"{admission} SELECT client_id, event_id, ts, admitted, false AS late FROM walk",
         "stream_source_health": success,
         "stream_latest_status": latest,
+        "stream_first_events": f"""{LATE} SELECT event_id, user_id, event_type, ts FROM marked WHERE NOT late
+            QUALIFY row_number() OVER (PARTITION BY {', '.join(P['event_keys'])} ORDER BY arrived) = 1""",
+        "stream_late_events": f"{LATE} SELECT event_id, user_id, event_type, ts FROM marked WHERE late",
     }
     for column in ("url", "title_hash", "content_fingerprint"):
         name = {"url": "first_per_url", "title_hash": "first_per_title", "content_fingerprint": "first_per_fingerprint"}[column]

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .windows import last_marked, previous_value, running_total
+from .windows import in_ranges, last_marked, previous_value, running_total
 
 DAY_US = 86_400_000_000
 
@@ -43,9 +43,9 @@ def success_rate(log: DataFrame, source: str = "source", ts: str = "ts", tie: st
         (F.col("n_articles") > 0).cast("long").alias("full"), (F.col("n_articles") <= 0).cast("long").alias("empty"),
     )
     newest_first = [F.desc("at"), F.desc("tie")]
-    slices = -_day(F.col("at"))
-    wins = running_total(wins, [source], newest_first, slices, F.col("full"), "full_after", before=True)
-    wins = running_total(wins, [source], newest_first, slices, F.col("empty"), "empty_after", before=True)
+    wins = in_ranges(wins, [source], newest_first)
+    wins = running_total(wins, [source], newest_first, F.col("full"), "full_after", before=True)
+    wins = running_total(wins, [source], newest_first, F.col("empty"), "empty_after", before=True)
     part = F.lit(0.1) * F.col("full") * F.pow(F.lit(0.9), "full_after") * F.pow(F.lit(0.95), "empty_after")
     rates = wins.groupBy(source).agg(
         (F.pow(F.lit(0.9), F.sum("full")) * F.pow(F.lit(0.95), F.sum("empty")) + F.sum(part)).alias("rate")
@@ -61,11 +61,11 @@ def failure_streaks(log: DataFrame, source: str = "source", ts: str = "ts", tie:
     """Runs of failures without a success between them: source, length, first and last time.
 
     Failures with equally many successes before them are one run, so a
-    two-level running count and one aggregation find all of them.
+    running count over ranges and one aggregation find all of them.
     """
     at = micros(ts)
     rows = log.select(source, ts, at.alias("at"), F.col(tie).alias("tie"), F.col("ok").cast("long").alias("won"))
-    counted = running_total(rows, [source], [F.asc("at"), F.asc("tie")], _day(F.col("at")), F.col("won"), "wins_before", before=True)
+    counted = running_total(rows, [source], [F.asc("at"), F.asc("tie")], F.col("won"), "wins_before", before=True)
     return counted.filter("won = 0").groupBy(source, "wins_before").agg(
         F.count(F.lit(1)).alias("n_failures"), F.min(ts).alias("started_at"), F.max(ts).alias("ended_at")).drop("wins_before")
 
@@ -183,7 +183,7 @@ def trailing_requests(
     """Requests per client in the window up to and including each request time.
 
     Every request enters at its time and leaves one window later; the count is
-    a running sum of both, which is split by time slice for busy clients.  (A
+    a running sum of both, which is split into ranges for busy clients.  (A
     sliding window frame would hold and re-read a client's whole window.)
     """
     window = int(window_s * 1_000_000)
@@ -191,7 +191,7 @@ def trailing_requests(
     moves = per_ts.select(client, "at", F.col("n").alias("change"), F.lit(True).alias("arrival")).unionByName(
         per_ts.select(client, (F.col("at") + window).alias("at"), (-F.col("n")).alias("change"), F.lit(False).alias("arrival"))
     )
-    counted = running_total(moves, [client], [F.col("at"), F.col("arrival")], _day(F.col("at")), F.col("change"), "n_trailing")
+    counted = running_total(moves, [client], [F.asc("at"), F.asc("arrival")], F.col("change"), "n_trailing")
     return counted.filter("arrival").select(
         client, F.timestamp_micros("at").alias("ts"), F.col("change").alias("n_requests"), "n_trailing")
 

@@ -9,7 +9,7 @@ writer at a time; readers of the old generation finish undisturbed, and
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -77,8 +77,8 @@ class BucketTable:
             raise ValueError("parts are numbered from 0")
         self._write(rows, self.generation(), part)
 
-    def compact(self, before: int) -> None:
-        """Fold the parts below ``before`` into one; those from there on stay parts, as their batch may yet be repeated."""
+    def compact(self, before: int, fold: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """Make the parts below ``before`` one, of ``fold`` of their rows; those from there on stay parts, as their batch may yet be repeated."""
         old, parts = self.generation(), self.parts()
         if sum(p < before for p in parts) < 2:
             return
@@ -87,7 +87,7 @@ class BucketTable:
         for part in parts:
             if part >= before:
                 self._write(rows.filter(F.col("part") == part), old + 1, part)
-        self._write(rows.filter(F.col("part") < before), old + 1, BASE)
+        self._write(fold(rows.filter(F.col("part") < before)), old + 1, BASE)
 
     def forget_old(self) -> None:
         """Remove generations that are no longer in use."""

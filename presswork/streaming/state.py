@@ -10,11 +10,12 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.health import admission_step, breaker_step, micros
 from ..operators.reports import latest_status
+from ..sinks.buckets import BucketTable
 
 
 class _Ordered(StatefulProcessor):
@@ -106,21 +107,45 @@ def stream_health(log: DataFrame, threshold: int = 5, recovery_s: float = 300) -
                 "failure_count int, success_rate double")
 
 
-def status_writer(path: str) -> Callable[[DataFrame, int], None]:
+class StatusLog(BucketTable):
+    """Status changes of executions.  Folding keeps the last of each, so reading costs the same after any number of batches."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, "execution_id string, status string, details string, updated_at timestamp, tie long", ["execution_id"])
+
+    @staticmethod
+    def _last(rows: DataFrame) -> DataFrame:
+        last = F.max_by(F.struct("status", "details", "updated_at", "tie"), F.struct("updated_at", "tie")).alias("last")
+        return rows.groupBy("execution_id").agg(last).select("execution_id", "last.*")
+
+    def append(self, rows: DataFrame, part: int) -> None:
+        super().append(self._last(rows), part)
+
+    def fold(self, before: int) -> None:
+        self.compact(before, self._last)
+        self.forget_old()
+
+    def latest(self, executions: DataFrame | None = None) -> DataFrame:
+        """Last status of all executions, or of those in the buckets of ``executions`` (execution_id)."""
+        return latest_status(self.read(executions), "tie")
+
+
+def status_writer(path: str, fold_every: int = 50) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` step that stores the last status per execution of each batch.
 
-    A batch's own folder is overwritten, so repeating it is harmless; the
-    latest status overall is ``latest_status`` over the folders.
+    A batch's own part is overwritten, so repeating it is harmless; every
+    ``fold_every`` batches the older ones are folded into one.  Among equal
+    times the highest ``event_id`` is the last, where there is one.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        tie = "event_id" if "event_id" in batch.columns else None
-        order = F.struct("updated_at", *([tie] if tie else []))
-        last = batch.groupBy("execution_id").agg(F.max_by(F.struct(*[
-            c for c in batch.columns if c != "execution_id"]), order).alias("last"))
-        last.select("execution_id", "last.*").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        log = StatusLog(batch.sparkSession, path)
+        tie = F.col("event_id") if "event_id" in batch.columns else F.lit(0)
+        log.append(batch.withColumn("tie", tie.cast("long")), batch_id)
+        if batch_id and batch_id % fold_every == 0:
+            log.fold(batch_id)
 
     return write
 
 
-def stored_status(spark, path: str, tie: str | None = None) -> DataFrame:
-    return latest_status(spark.read.parquet(path), tie)
+def stored_status(spark: SparkSession, path: str) -> DataFrame:
+    return StatusLog(spark, path).latest()

@@ -1,12 +1,14 @@
 """Replays, reports, search, stores, the collection run and the streams."""
 import datetime as dt
 import json
+import random
 import os
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from presswork.operators import health, reports, search as srch
+from presswork.operators import health, reports, search as srch, windows
+from presswork.operators.gram_index import GramIndex, indexed_search
 from presswork.plans.collect import collect_run
 from presswork.schemas import ARTICLE, FALLBACK_ARTICLE, PAGE, REQUEST, SOURCE_LOG
 from presswork.sinks import store
@@ -218,7 +220,75 @@ def test_streamed_state_equals_batch(spark, tmp_path):
         ("try", "OPEN"), ("skip", "OPEN"), ("skip", "OPEN"), ("try", "OPEN"), ("try", "CLOSED")]
 
 
-def test_late_rows_are_split(spark):
-    df = spark.createDataFrame([(1, at(0)), (2, at(100))], "id int, ts timestamp")
-    good, late = ingest.split_late(df, "ts", F.lit(at(50)))
-    assert [r["id"] for r in good.collect()] == [2] and [r["id"] for r in late.collect()] == [1]
+def late_by_brute_force(rows, delay):
+    newest, out = None, []
+    for seq, at_, key in sorted(rows):
+        out.append((seq, newest is not None and at_ < newest - delay))
+        newest = at_ if newest is None else max(newest, at_)
+    return dict(out)
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_late_events_do_not_depend_on_batches(spark, tmp_path, batches):
+    rnd = random.Random(11)
+    rows = [(i, 100 * i - rnd.choice([0, 0, 50, 900]), rnd.randint(0, 25)) for i in range(60)]
+    late = late_by_brute_force(rows, 300)
+    first = {}
+    for seq, _, key in rows:
+        if not late[seq]:
+            first.setdefault(key, seq)
+    landed, out = tmp_path / "landed", str(tmp_path / "out")
+    size = -(-len(rows) // batches)
+    for k in range(batches):
+        part = spark.createDataFrame([(s, at(t), key) for s, t, key in rows[k * size:(k + 1) * size]], "seq long, ts timestamp, key int")
+        part.coalesce(1).write.mode("append").parquet(str(landed))
+    stream = spark.readStream.schema("seq long, ts timestamp, key int").option("maxFilesPerTrigger", 1).parquet(str(landed))
+    for _ in range(2):      # the second start finds nothing new
+        ingest.ingest_events(stream, out, str(tmp_path / "ck"), ["key"], "seq", "ts", 300, compact_every=2).awaitTermination()
+    got = {kind: sorted(r["seq"] for r in ingest.stored_events(spark, out, "seq long, ts timestamp, key int", kind).collect()) for kind in (False, True)}
+    assert got[False] == sorted(first.values()) and got[True] == [s for s in late if late[s]] and len(got[True]) > 3
+
+
+def test_status_log_folds(spark, tmp_path):
+    log = state.StatusLog(spark, str(tmp_path / "log"))
+    for part in range(6):
+        rows = [(f"e{i}", f"s{part}", "{}", at(part if i % 2 else 10 - part), part) for i in range(5)]
+        log.append(spark.createDataFrame(rows, "execution_id string, status string, details string, updated_at timestamp, tie long"), part)
+    want = {f"e{i}": "s5" if i % 2 else "s0" for i in range(5)}
+    assert {r["execution_id"]: r["status"] for r in log.latest().collect()} == want
+    log.fold(before=5)
+    assert log.parts() == [-1, 5] and {r["execution_id"]: r["status"] for r in log.latest().collect()} == want
+    assert log.latest(spark.createDataFrame([("e1",)], "execution_id string")).filter("execution_id = 'e1'").count() == 1
+
+
+def test_a_busy_day_spreads_over_ranges(spark):
+    """One source with most rows of one day: ranges follow the rows, and totals are those of one pass."""
+    rows = [("busy", at(i), i, i % 3 > 0, i % 2) for i in range(400)] + [("quiet", at(50_000 + i), 1000 + i, True, 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "source string, ts timestamp, event_id long, ok boolean, n_articles int")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        cut = windows.in_ranges(df, ["source"], [F.asc("event_id")])
+        spread = cut.filter("source = 'busy'").groupBy("_range").count().collect()
+        assert len(spread) >= 6 and max(r["count"] for r in spread) < 150
+        total = windows.running_total(cut, ["source"], [F.asc("event_id")], F.lit(1), "n").collect()
+        assert all(r["n"] == (r["event_id"] + 1 if r["source"] == "busy" else r["event_id"] - 999) for r in total)
+        rate, got = 1.0, {r["source"]: r["success_rate"] for r in health.success_rate(df).collect()}
+        for _, _, _, ok, n in rows[:400]:
+            rate = (rate * 0.9 + 0.1 if n else rate * 0.95) if ok else rate
+        assert abs(got["busy"] - rate) < 1e-9
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_substring_index_equals_the_scan(spark, tmp_path):
+    rows = [(f"n{i}", f"Title {i} of Zürich", f"The content number {i * 7} says {'alpha beta' if i % 3 else 'gamma_delta 100%'} 😀 end", "src", 0.9, at(i)) for i in range(40)]
+    rows += [("x1", None, "only CONTENT alpha", "src", 0.9, at(99)), ("x2", "ab", None, "src", 0.9, at(98)), ("x3", "", "", "src", 0.9, at(97))]
+    df = spark.createDataFrame(rows, "news_id string, title string, content string, source string, quality_score double, created_at timestamp").selectExpr(
+        "*", "'' AS ai_summary", "'' AS url", "'' AS image_url")
+    index = GramIndex(spark, str(tmp_path / "g"), 4)
+    index.add(df.filter("news_id LIKE 'n%'"), 0)
+    index.add(df.filter("news_id LIKE 'x%'"), 1)
+    for query in ("alpha", "ALPHA b", "zürich", "number 1_ says", "content%beta", "gamma", "ab", "😀 end", "no such words", "%", "a\\b", "content"):
+        want = [r["news_id"] for r in srch.search(df, 100, query=query).collect()]
+        assert [r["news_id"] for r in indexed_search(df, index, 100, query=query).collect()] == want, query
+    assert index.candidates("al") is None and index.candidates("alpha").count() < 30

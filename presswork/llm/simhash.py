@@ -9,22 +9,25 @@ Gray sequence, so that neighbours share long masked bit patterns.  The order is
 cut into ranges.  A run of eight fingerprints is a node that keeps the bits all
 have in common (mask and pattern), eight nodes an upper node that takes over the
 bits they share, and so on to the top; ranges are nodes of this tree as well, and
-those above them are the upper part of the index.
+those above them are the upper part of the index.  There are four such orders,
+each with another quarter of the bits in front.
 
 Search: every fingerprint goes down from the top.  Each node adds the differences
 in the bits that it knows and its parent did not; a node whose sum exceeds three
-is dropped with all below it.  The upper part decides which ranges a fingerprint
-is sent to, never one before its own, and each range goes on down to fingerprints.
+is dropped with all below it.  Two fingerprints within three bits agree in a
+quarter, so in each order a node that differs in the front quarter is dropped at
+once.  The upper part decides which ranges a fingerprint is sent to, never one
+before its own, and each range goes on down to fingerprints.
 
 Scale: only distinct fingerprints are searched, with their smallest id formed
-before the shuffle.  The upper part is sent to all tasks: at most ``NODES``
-ranges, however many fingerprints, as ranges then grow.  With n fingerprints
-about (log n) ** 3 / 6 nodes are met by each, and ranges by less.  A range that
-very many fingerprints are sent to is copied for each ``ASKING`` of them.  A group
-of fingerprints within three bits of one has at most 43,745 members.  Of the links in
-a task only a spanning forest leaves it.  Components are contracted in rounds
-whose number grows with the logarithm of their size; every round is written to
-the shared folder.
+before the shuffle.  The upper part is sent to all tasks: at most four times
+``NODES`` ranges, however many fingerprints, as ranges then grow.  A fingerprint
+is sent to its own range of each order, and beyond only while its front quarter
+goes on.  A range that very many are sent to is copied for each ``ASKING`` of
+them.  A group of fingerprints within three bits of one has at most 43,745
+members.  Of the links in a task only a spanning forest leaves it.  Components
+are contracted in rounds whose number grows with the logarithm of their size;
+every round is written to the shared folder.
 
 Edge cases: null and blank texts have fingerprint zero and are linked as any
 other; repeated rows have one fingerprint; null ids are passed over when a
@@ -51,6 +54,8 @@ RANGE_ROWS, NODES = 32_768, 200_000
 ASKING = 1_000_000
 #: Query and node pairs looked at together.
 FRONTIER = 1_000_000
+#: The quarter of the bits in front.
+FRONT = 0xFFFF << 48
 
 _UPPER = re.compile("[A-Z]+")
 
@@ -115,8 +120,9 @@ class GrayIndex:
             self.levels.append((shared, all_and & shared, first))
         self.visited = self.dropped = 0
 
-    def near(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, leaf) pairs that differ in at most ``NEAR`` known bits, in bounded lots."""
+    def near(self, words: np.ndarray, equal: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, leaf) pairs that differ in at most ``NEAR`` known bits and in none of ``equal``, in bounded lots."""
+        equal = np.uint64(equal)
         if not len(self.levels[0][0]):
             return
         top = len(self.levels) - 1
@@ -125,12 +131,13 @@ class GrayIndex:
         for at in range(0, len(words), step):
             query = np.arange(at, min(at + step, len(words)))
             self.visited += len(query)
-            seen = np.bitwise_count((words[query] ^ pattern[0]) & mask[0])
-            close = seen <= NEAR
+            apart = (words[query] ^ pattern[0]) & mask[0]
+            seen = np.bitwise_count(apart)
+            close = (seen <= NEAR) & (apart & equal == 0)
             self.dropped += int((~close).sum())
-            yield from self._down(words, top, query[close], np.zeros(int(close.sum()), np.int64), seen[close])
+            yield from self._down(words, equal, top, query[close], np.zeros(int(close.sum()), np.int64), seen[close])
 
-    def _down(self, words, depth, query, node, seen) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _down(self, words, equal, depth, query, node, seen) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not depth:
             yield query, node
             return
@@ -143,11 +150,12 @@ class GrayIndex:
             child = np.repeat(first[n], width) + np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
             q, parent = np.repeat(q, width), np.repeat(n, width)
             # Only the bits that the parent did not know are new.
-            sum_ = np.repeat(s, width) + np.bitwise_count((words[q] ^ pattern[child]) & (mask[child] & ~above[parent]))
-            close = sum_ <= NEAR
+            apart = (words[q] ^ pattern[child]) & (mask[child] & ~above[parent])
+            sum_ = np.repeat(s, width) + np.bitwise_count(apart)
+            close = (sum_ <= NEAR) & (apart & equal == 0)
             self.visited += len(child)
             self.dropped += int((~close).sum())
-            yield from self._down(words, depth - 1, q[close], child[close], sum_[close])
+            yield from self._down(words, equal, depth - 1, q[close], child[close], sum_[close])
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -173,23 +181,34 @@ def gray_order(fp: Column) -> Column:
     return out.bitwiseXOR(F.lit(-1 << 63))
 
 
-def _sent(ranged: DataFrame, nodes: list[tuple[int, int, int]]) -> DataFrame:
-    """(place, fp): the ranges, by the upper part of the index, that each (place, fp) is to look into."""
-    places = np.array([n[0] for n in nodes], np.int64)
-    masks, patterns = (np.array([n[k] for n in nodes], np.int64).view(np.uint64) for k in (1, 2))
+def turned(fp: Column, quarters: Column) -> Column:
+    """``fp`` with a later quarter of its bits in front."""
+    bits = quarters * 16
+    return F.when(quarters == 0, fp).otherwise(
+        F.call_function("shiftleft", fp, bits).bitwiseOR(F.call_function("shiftrightunsigned", fp, 64 - bits)))
+
 
+def _sent(ranged: DataFrame, nodes: list[tuple[int, int, int]]) -> DataFrame:
+    """(place, word): the ranges, by the upper part of the index, that each (place, word) is to look into."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         worker_slot("simhash")
-        upper = GrayIndex(patterns, masks)
+        upper = []
+        for quarter in range(4):
+            own = [n for n in nodes if n[0] % 4 == quarter]
+            masks, patterns = (np.array([n[k] for n in own], np.int64).view(np.uint64) for k in (1, 2))
+            upper.append((np.array([n[0] for n in own], np.int64), GrayIndex(patterns, masks)))
         for batch in batches:
-            own, words = batch.column("place").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-            for query, leaf in upper.near(words):
-                ahead = places[leaf] >= own[query]
-                yield pa.RecordBatch.from_arrays([pa.array(places[leaf[ahead]]), pa.array(words[query[ahead]].view(np.int64))], names=["place", "fp"])
+            place, word = batch.column("place").to_numpy(), batch.column("word").to_numpy()
+            for quarter, (places, index) in enumerate(upper):
+                mine = place % 4 == quarter
+                at, words = place[mine], word[mine].view(np.uint64)
+                for query, leaf in index.near(words, FRONT):
+                    ahead = places[leaf] >= at[query]
+                    yield pa.RecordBatch.from_arrays([pa.array(places[leaf[ahead]]), pa.array(words[query[ahead]].view(np.int64))], names=["place", "word"])
 
-    return ranged.mapInArrow(run, "place bigint, fp bigint")
+    return ranged.mapInArrow(run, "place bigint, word bigint")
 
 
 def _forest(left, right):
@@ -197,39 +216,44 @@ def _forest(left, right):
     import pyarrow as pa
 
     worker_slot("simhash")
-    held, asked = (t.column("fp").combine_chunks().to_numpy().view(np.uint64) for t in (left, right))
+    held, asked = (t.column("word").combine_chunks().to_numpy().view(np.uint64) for t in (left, right))
     if not len(held) or not len(asked):
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     held = held[np.argsort(gray_rank(held))]
     # One number for equal fingerprints, whichever side they are on.
     words, number = np.unique(np.concatenate([held, asked]), return_inverse=True)
     label = np.arange(len(words))
-    for query, leaf in GrayIndex(held).near(asked):
+    for query, leaf in GrayIndex(held).near(asked, FRONT):
         a, b = number[len(held) + query], number[leaf]
         apart = a != b
         _merge(label, a[apart], b[apart])
     while not np.array_equal(label[label], label):
         label = label[label]
     joined = np.flatnonzero(label != np.arange(len(label)))
+    back = np.uint64(16 * (left.column("place")[0].as_py() % 4))
+    if back:
+        words = (words >> back) | (words << (np.uint64(64) - back))
     signed = words.view(np.int64)
     return pa.table({"a": pa.array(signed[joined]), "b": pa.array(signed[label[joined]])})
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect what lies within ``NEAR`` bits among the distinct ``fp``."""
-    n = fps.count()
+    n = 4 * fps.count()
     ranges = max(1, n // max(RANGE_ROWS, n // NODES))
-    ordered = fps.select("fp", gray_order(F.col("fp")).alias("rank")).repartitionByRange(ranges, "rank")
-    ranged = landed(ordered.select(F.spark_partition_id().cast("long").alias("place"), "fp"), "simhash-ranges")
-    shared = F.bitwise_not(F.bit_and("fp").bitwiseXOR(F.bit_or("fp")))
-    # One row for each range; the rank, not the number, puts them in order.
-    nodes = ranged.groupBy("place").agg(shared.alias("mask"), F.bit_and("fp").alias("pattern"), F.min(gray_order(F.col("fp"))).alias("rank"))
-    upper = sorted(((r["rank"], r["place"], r["mask"], r["pattern"]) for r in nodes.collect()))
-    sent = landed(_sent(ranged.repartition(max(ranges, fps.sparkSession.sparkContext.defaultParallelism)), [u[1:] for u in upper]), "simhash-sent")
+    quarters = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("quarter")
+    words = fps.select("fp", quarters).select("quarter", turned(F.col("fp"), F.col("quarter")).alias("word"))
+    ordered = words.withColumn("rank", gray_order(F.col("word"))).repartitionByRange(ranges, "quarter", "rank")
+    # Numbered in the order of (quarter, rank); a range that holds the end of one order and the beginning of the next is two.
+    place = F.spark_partition_id().cast("long") * 4 + F.col("quarter")
+    ranged = landed(ordered.select(place.alias("place"), "word"), "simhash-ranges")
+    shared = F.bitwise_not(F.bit_and("word").bitwiseXOR(F.bit_or("word")))
+    nodes = ranged.groupBy("place").agg(shared.alias("mask"), F.bit_and("word").alias("pattern")).orderBy("place").collect()
+    sent = landed(_sent(ranged, [tuple(r) for r in nodes]), "simhash-sent")
     copies = sent.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / ASKING).alias("copies"))
-    asked = sent.join(copies, "place").select("place", F.pmod(F.xxhash64("fp"), F.col("copies")).alias("copy"), "fp")
+    asked = sent.join(copies, "place").select("place", F.pmod(F.xxhash64("word"), F.col("copies")).alias("copy"), "word")
     held = ranged.join(copies, "place").select(
-        F.col("place").alias("place"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("fp").alias("fp"))
+        F.col("place").alias("place"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("word").alias("word"))
     return held.groupBy("place", "copy").cogroup(asked.groupBy("place", "copy")).applyInArrow(_forest, "a bigint, b bigint")
 
 

@@ -63,9 +63,10 @@ def test_glued_chunks_take_linear_time(text):
     own = packing.ChunkEncoder(path)
     whole = library("word_bpe_49k.json")
     start = time.time()
-    packing._WHOLLY_PLAIN.match(text)
-    assert time.time() - start < 1
+    found = list(own.encode_all([text, text[:20]]))
+    assert time.time() - start < 5
     if len(text) < 100_000:
+        assert found[1] == next(own.encode_all([text[:20]]))
         assert list(own.encode_all([text])) == [np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 

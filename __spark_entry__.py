@@ -568,6 +568,11 @@ def dashboard(spark, sf):
     return _rounded(reports.dashboard_rows(_articles(spark, sf), _runs(spark, sf), _as_of()), "value")
 
 
+def _pick(values, number):
+    """One of the values for each number, in turn."""
+    return F.get(F.array(*map(F.lit, values)), (number % len(values)).cast("int"))
+
+
 def dated_orders(spark, sf):
     """Order dates written in a different way per priority; the last one is no known shape."""
     shapes = F.when(F.startswith("o_orderpriority", F.lit("1")), F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -637,8 +642,9 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "date_part": lambda s, d: _events(s, d).select(
             "event_id", date_part(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("day")),
         "boilerplate": lambda s, d: _table(s, d, "conversations").select(
-            "conv_id", "turn", is_boilerplate("text").alias("is_boilerplate")),
-        "image_scores": lambda s, d: _pages(s, d).select("page_id", image_score("url", "url").alias("score")),
+            "conv_id", "turn", is_boilerplate(F.concat("text", F.lit(" "), _pick(P["endings"], F.col("conv_id") + F.col("turn")))).alias("is_boilerplate")),
+        "image_scores": lambda s, d: _pages(s, d).select(
+            "page_id", image_score(F.concat("url", _pick(P["images"], F.col("page_id"))), "url").alias("score")),
         "best_images": best_images,
         "article_quality": _on_docs(quality_score=lambda: quality_score(_title(), "text", "lang", "source")),
         "confidence": _on_docs(confidence=lambda: confidence(quality_score(_title(), "text"))),

@@ -10,6 +10,9 @@ PARAMETERS = {
     "doc_sources": ["src0", "src1", "src2", "src3", "src4"],
     "links_per_source": 5,
     "stored_lang": "en",
+    # What texts end with and images are called, so that each rule has rows that it takes and rows that it leaves.
+    "endings": ["", "Follow us on the site", "news of the day", "READ MORE", "we follow the river", "Privacy Policy", "shared thisway"],
+    "images": ["/img/Large-story.JPG", "/icon.png", "/banner-600.webp", "/x", "/news/800.jpeg", "/logo-article.png", "/thumb"],
     "event_keys": ["user_id", "event_type"],
     "event_lag_s": 20_000,
     "event_delay_s": 9_000,
@@ -140,7 +143,9 @@ LEAF_TEXT = (
     f"array_to_string(list_filter({LEAVES}, lambda p: length(p) > 30 "
     f"AND NOT regexp_matches(lower(p), '{BOILERPLATE}')), chr(10) || chr(10))"
 )
-FIRST_TEXT = f"array_to_string(list_filter({LEAVES}, lambda p: length(p) > 50)[1:10], chr(10) || chr(10))"
+WHOLE = (f"list_transform(regexp_extract_all(html, '(?is)<p(?:\\s[^>]*)?>(.*?)</p\\s*>', 1), "
+         f"lambda p: {clean(decode("regexp_replace(p, '<[^>]*>', '', 'g')"))})")
+FIRST_TEXT = f"array_to_string(list_filter({WHOLE}, lambda p: length(p) > 50)[1:10], chr(10) || chr(10))"
 QUICK = f"""
 quick_base AS (SELECT page_id, url, {host('url')} AS host, {PAGE_TITLE} AS title, {LEAF_TEXT} AS content,
                       {FIRST_TEXT} AS first_text FROM pages),
@@ -247,7 +252,6 @@ def statements() -> dict[str, str]:
     )
     A = f"WITH {DOC_ARTICLES} "
     Q = f"WITH {QUICK} "
-    img = "lower(url)"
     site_values = ", ".join(f"('{n}', '{h}')" for _, n, h in P["sites"])
     doc_sources = ", ".join(f"'{x}'" for x in P["doc_sources"])
     since = f"(CAST(TIMESTAMP '{P['as_of']}' AS DATE) - 1)::TIMESTAMP"
@@ -357,8 +361,10 @@ def statements() -> dict[str, str]:
             {path('url')} AS path FROM pages""",
         "looks_like_date": """SELECT o_orderkey, o_orderpriority[1] IN ('1', '2', '3') AS dated FROM orders""",
         "date_part": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events",
-        "boilerplate": f"SELECT conv_id, turn, regexp_matches(lower(text), '{BOILERPLATE}') AS is_boilerplate FROM conversations",
-        "image_scores": f"SELECT page_id, {img_score.format(u=img)} AS score FROM pages",
+        "boilerplate": f"""SELECT conv_id, turn, regexp_matches(lower(text || ' ' || {P['endings']}[(conv_id + turn) % {len(P['endings'])} + 1]), '{BOILERPLATE}') AS is_boilerplate
+            FROM conversations""",
+        "image_scores": f"""SELECT page_id, {img_score.format(u="u")} AS score
+            FROM (SELECT page_id, lower(url || {P['images']}[page_id % {len(P['images'])} + 1]) AS u FROM pages)""",
         "best_images": f"""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://[^/?#]*')) AS root,
               regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM pages),
             c AS (SELECT page_id, root, unnest(hs) || '.jpg' AS src, unnest(range(len(hs))) AS i FROM h),

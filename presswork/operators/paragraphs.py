@@ -1,9 +1,10 @@
 """Leaf paragraphs straight from the markup, without a parse.
 
-A quick form for reports over whole page tables.  It reads what stands in one
-string between two tags, with attributes and in either case; text around inner
-tags and in leaf ``div`` elements is read by :mod:`presswork.operators.extract` alone, whose
-rules decide in collection runs.
+A quick form for reports over whole page tables, with attributes and in either
+case of the tags.  The main text takes paragraphs without inner tags, the
+fallback text all paragraphs with the text of their inner tags; leaf ``div``
+elements are read by :mod:`presswork.operators.extract` alone, whose rules
+decide in collection runs.
 """
 from __future__ import annotations
 
@@ -14,6 +15,8 @@ from ..functions.text import as_col, clean_text, is_boilerplate, once
 
 # The tags read here.
 PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>([^<]*)</p\s*>"
+ANY_PARAGRAPH = r"(?is)<p(?:\s[^>]*)?>(.*?)</p\s*>"
+INNER_TAG = r"<[^>]*>"
 TITLE = r"(?i)<title(?:\s[^>]*)?>([^<]*)</title\s*>"
 # The entities decoded here, `&` last.
 ENTITIES = [
@@ -43,8 +46,10 @@ def leaf_paragraphs(html: Column | str) -> Column:
 
 
 def first_paragraphs(html: Column | str, n: int = 10) -> Column:
-    """Fallback text: the first ``n`` paragraphs over 50 characters."""
-    return F.array_join(F.slice(F.filter(_leaves(html), lambda p: F.length(p) > 50), 1, n), "\n\n")
+    """Fallback text: the first ``n`` paragraphs over 50 characters, inner tags taken out."""
+    raw = F.regexp_extract_all(as_col(html), F.lit(ANY_PARAGRAPH), F.lit(1))
+    whole = F.transform(raw, lambda p: clean_text(decode_entities(F.regexp_replace(p, INNER_TAG, ""))))
+    return F.array_join(F.slice(F.filter(whole, lambda p: F.length(p) > 50), 1, n), "\n\n")
 
 
 def page_title(html: Column | str) -> Column:

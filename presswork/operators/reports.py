@@ -1,7 +1,7 @@
 """Reports over stored articles, runs and status logs."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed_values import LOWEST_TIER, TIERS
 from ..functions.quality import quality_tier
@@ -57,7 +57,7 @@ def quality_columns(articles: DataFrame, nulls: str = "poor") -> DataFrame:
 def _share(df: DataFrame, key: Column, name: str) -> DataFrame:
     counts = df.groupBy(key.alias(name)).agg(F.count("*").alias("n_articles"))
     return (
-        counts.withColumn("share_pct", F.col("n_articles") / F.sum("n_articles").over(Window.partitionBy()) * 100)
+        counts.withColumn("share_pct", F.col("n_articles") / df.agg(F.count("*")).scalar() * 100)
         .orderBy(F.desc("n_articles"), name)
     )
 
@@ -75,7 +75,7 @@ def strategy_share(articles: DataFrame) -> DataFrame:
     """Share of each strategy in *all* articles; articles without one are not listed."""
     counts = articles.groupBy(F.col("extraction_strategy").alias("strategy")).agg(F.count("*").alias("n_articles"))
     return (
-        counts.withColumn("share_pct", F.col("n_articles") / F.sum("n_articles").over(Window.partitionBy()) * 100)
+        counts.withColumn("share_pct", F.col("n_articles") / articles.agg(F.count("*")).scalar() * 100)
         .filter(F.col("strategy").isNotNull())
         .orderBy(F.desc("n_articles"), "strategy")
     )

@@ -451,6 +451,27 @@ def statements() -> dict[str, str]:
                      WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, s.matched)
             SELECT doc_id, arg_max(matched, (sim, -matched)) AS matched, round(max(sim), 6) AS similarity
             FROM dots GROUP BY doc_id HAVING max(sim) > {P['tfidf_threshold']}::DOUBLE""",
+        "tfidf_dedupe": f"""WITH RECURSIVE {_vectors()}, {KEYED},
+            near AS (SELECT a.doc_id, b.doc_id AS matched, sum(a.weight * b.weight) AS sim
+              FROM vec a JOIN vec b ON a.source = b.source AND a.term = b.term AND b.doc_id < a.doc_id
+              GROUP BY a.doc_id, b.doc_id HAVING sum(a.weight * b.weight) > 0.85::DOUBLE),
+            hit AS (
+              SELECT a.doc_id, b.doc_id AS matched, 1 AS kind, 1::DOUBLE AS sim FROM keyed a JOIN keyed b ON a.url = b.url AND b.doc_id < a.doc_id
+              UNION ALL SELECT a.doc_id, b.doc_id, 2, 0.95::DOUBLE FROM keyed a JOIN keyed b ON a.title_hash = b.title_hash AND b.doc_id < a.doc_id
+              UNION ALL SELECT a.doc_id, b.doc_id, 3, 0.9::DOUBLE FROM keyed a JOIN keyed b ON a.content_fingerprint = b.content_fingerprint AND b.doc_id < a.doc_id
+              UNION ALL SELECT doc_id, matched, 4, sim FROM near),
+            q AS (SELECT doc_id, list({{'matched': matched, 'kind': kind, 'sim': sim}} ORDER BY kind, sim DESC, matched) AS hits FROM hit GROUP BY doc_id),
+            e AS MATERIALIZED (SELECT doc_id, coalesce(hits, []) AS hits, row_number() OVER (ORDER BY doc_id) AS n FROM keyed LEFT JOIN q USING (doc_id)),
+            walk AS (
+              SELECT 0::BIGINT AS n, 0::BIGINT AS doc_id, []::BIGINT[] AS kept, NULL::STRUCT(matched BIGINT, kind INTEGER, sim DOUBLE) AS hit
+              UNION ALL
+              SELECT e.n, e.doc_id,
+                CASE WHEN len(list_filter(e.hits, lambda h: list_contains(w.kept, h.matched))) > 0 THEN w.kept ELSE list_append(w.kept, e.doc_id) END,
+                list_filter(e.hits, lambda h: list_contains(w.kept, h.matched))[1]
+              FROM walk w JOIN e ON e.n = w.n + 1)
+            SELECT doc_id, hit IS NOT NULL AS is_duplicate,
+              ['exact_url_match', 'title_hash_match', 'content_fingerprint_match', 'tfidf_similarity'][hit.kind] AS reason,
+              CASE WHEN hit IS NULL THEN 0 ELSE round(hit.sim, 6) END AS similarity, hit.matched AS matched FROM walk WHERE n > 0""",
         "total_articles": "SELECT count(*) AS total_articles FROM documents",
         "recent_articles": f"{A} SELECT count(*) AS articles_last_24h FROM articles WHERE created_at >= {since}",
         "source_performance": f"{A} SELECT source, count(*) AS n_articles, coalesce(round(avg(quality_score), 3), 0) AS avg_quality FROM articles GROUP BY source",

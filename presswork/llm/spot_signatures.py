@@ -10,7 +10,12 @@ signatures; a set's digest names it in one string.  A text without any
 signature has one of all its words, so the set is never empty.
 
 Comparing: ``likeness`` is the Jaccard similarity of two sets; where lengths
-alone rule out ``least`` it is 0 and nothing is intersected.
+alone rule out ``least`` it is 0 and nothing is intersected.  ``near_documents``
+finds all pairs within ``least``: equal sets are one; sets are partitioned by
+length so that near ones lie in the same or in neighbouring partitions; inside
+them they are joined on the rarest part of each, and lengths and places prune
+what meets before sets are intersected.  A signature that very many sets hold is
+dealt out in blocks.
 
 Scale: DataFrame functions only.  Word counts are combined before the shuffle;
 anchors are at most 1 / ``ANCHOR_SHARE`` words for each of at most 1 /
@@ -26,6 +31,8 @@ gives no rows; further columns are ignored.  Memory follows the longest text.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import landed
@@ -36,6 +43,8 @@ ANCHOR_SHARE, LANG_SHARE = 0.004, 0.001
 CHAIN = 3
 #: Documents in a bucket of neighbouring ids, about.
 BUCKET_ROWS = 4096
+#: Sets that hold one signature in one block.
+BLOCK = 2000
 WORD = r"[\p{L}\p{N}\p{M}]+"
 
 
@@ -91,6 +100,48 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when(F.least(n, m) < least * F.greatest(n, m), F.lit(0.0)).otherwise(found) if least else found
 
 
+def near_documents(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", lang_col: str | None = "lang") -> tuple[DataFrame, DataFrame]:
+    """Members (id, class) of equal sets, and pairs (a, b, likeness) of classes, a < b, at ``least`` or above.
+
+    A class is named by its smallest id; rows without an id take no part.
+    """
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    sets = landed(with_signatures(rows, "text", "sigs", common_words(docs, lang_col)).select(
+        "id", "sigs", fingerprint("sigs").alias("print")), "spot-sets")
+    firsts = sets.groupBy("print").agg(F.min("id").alias("class"))
+    members = sets.select("id", "print").join(firsts, "print").select("id", "class").distinct()
+    classes = landed(sets.join(firsts, "print").filter(F.col("id") == F.col("class")).dropDuplicates(["class"]).select(
+        "class", "sigs", F.size("sigs").alias("n")), "spot-classes")
+    # A step of the partitions is a little wider than the bound, so that rounding never puts near sets two apart.
+    part = F.floor(F.log(F.col("n").cast("double")) / (1e-9 - math.log(least))).cast("int")
+    held = classes.select("class", "n", part.alias("part"), F.explode("sigs").alias("sig")).withColumn("sig", F.xxhash64("sig"))
+    counts = held.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    own = Window.partitionBy("class")
+    shared = held.join(counts, "sig").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own))
+    # Places run from rare to common; signatures that no other set holds come first and need no row.
+    placed = shared.withColumn("at", F.col("alone") + F.row_number().over(own.orderBy("k", "sig")))
+    rare = landed(placed.filter(F.col("at") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).select("class", "n", "part", "sig", "at"), "spot-rare")
+    asking = rare.select("class", "n", "sig", "at", F.explode(F.array("part", F.col("part") - 1)).alias("part"))
+    keys = ["sig", "part"]
+    blocks = lambda rows_, name: rows_.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+    sizes = landed(blocks(rare, "down").join(blocks(asking, "across"), keys), "spot-sizes")
+
+    def dealt(rows_: DataFrame, mine: str, theirs: str) -> DataFrame:
+        return rows_.join(sizes, keys).select("class", "n", "at", *keys, F.pmod(F.xxhash64("class"), F.col(mine)).alias(f"_{mine}"),
+                                              F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1)).alias(f"_{theirs}"))
+
+    left = dealt(asking, "across", "down").withColumnsRenamed({"class": "b", "n": "m", "at": "place"})
+    right = dealt(rare, "down", "across").withColumnRenamed("class", "a")
+    most = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) + 1
+    met = left.join(right, [*keys, "_down", "_across"]).filter(
+        (F.col("a") != F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)
+        & (most >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9))
+    pairs = landed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "spot-pairs")
+    both = pairs.join(classes.select(F.col("class").alias("a"), F.col("sigs").alias("x")), "a").join(
+        classes.select(F.col("class").alias("b"), F.col("sigs").alias("y")), "b")
+    return members, both.select("a", "b", likeness(F.col("x"), F.col("y"), least).alias("likeness")).filter(F.col("likeness") >= least)
+
+
 def _buckets(ids: DataFrame) -> tuple[list[int], list[int]]:
     """Borders of buckets of neighbouring ids, and the smallest id in each bucket that holds any."""
     n = ids.count()

@@ -159,6 +159,31 @@ def test_fingerprints_of_odd_tables(spark, corpus):
         spot_signatures.fingerprint_query(spark.createDataFrame([("a", "t", "en")], "doc_id string, text string, lang string"))
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_near_documents_equal_brute_force(spark, corpus, block, monkeypatch):
+    monkeypatch.setattr(spot_signatures, "BLOCK", block)
+    rnd = random.Random(12)
+    rows = [r[:3] for r in corpus.rows]
+    words = [f"word{i}" for i in range(400)] + ["the", "of", "and"] * 60
+    for group in range(6):
+        base = [rnd.choice(words) for _ in range(rnd.randint(30, 160))]
+        for k in range(7):
+            text = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                text[rnd.randrange(len(text))] = rnd.choice(words)
+            rows.append((5000 + 10 * group + k, " ".join(text[rnd.randint(0, 6):]), "en"))
+    docs = spark.createDataFrame([*rows, rows[-1], (None, "the word1 word2 word3", "en")], "doc_id long, text string, lang string")
+    common = set(spot_signatures.common_words(docs))
+    sets = {i: frozenset(brute_signatures(t or "", common)) for i, t, _ in rows}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    members, pairs = spot_signatures.near_documents(docs, 0.6)
+    assert {(r["id"], r["class"]) for r in members.collect()} == {(i, first[s]) for i, s in sets.items()}
+    want = {(a, b): len(x & y) / len(x | y) for x, a in first.items() for y, b in first.items() if a < b and len(x & y) >= 0.6 * len(x | y)}
+    assert {(r["a"], r["b"]): r["likeness"] for r in pairs.collect()} == want and len(want) > 20
+
+
 def test_likeness_prunes_by_length(spark):
     rows = spark.createDataFrame([(["a"], ["a", "b", "c", "d", "e"]), (["a", "b"], ["b", "a"]), (["a", "b", "c"], ["a", "b", "d"])], "a array<string>, b array<string>")
     exact = [r[0] for r in rows.select(spot_signatures.likeness(F.col("a"), F.col("b"))).collect()]

@@ -6,6 +6,7 @@ tables.
 """
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -593,12 +594,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _training_data():
-    """Queries and SQL of the training-data operators and their pipeline, where those are present."""
-    try:
-        import corpus_pipeline
-        from presswork.llm import queries as training_data
-    except ImportError:
+    """Queries and SQL of the training-data operators and their pipeline, where those are present.
+
+    A fault inside them is not hidden: only their absence is.
+    """
+    found = [importlib.util.find_spec(name) for name in ("corpus_pipeline", "presswork.llm")]
+    if not all(spec and spec.origin for spec in found):
         return {}, {}
+    import corpus_pipeline
+    from presswork.llm import queries as training_data
+
     own, sql = training_data.queries(), training_data.oracle_sql()
     own["pipeline"] = corpus_pipeline.run
     if corpus_pipeline.ORACLE_SQL:

@@ -14,6 +14,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from ..functions import fixed_values as fixed
+
 # Elements that never have content.
 VOID_TAGS = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "menuitem", "meta",
@@ -22,9 +24,14 @@ VOID_TAGS = {
 }
 # Their text is code, not prose.
 RAW_TAGS = {"script", "style", "template"}
-# The parts of fixed_values.CHROME_SELECTOR and PAGE_FRAME_SELECTOR.
-CHROME = ({"script", "style", "nav", "footer"}, {"ad", "advertisement", "social-share"})
-FRAME = ({"nav", "sidebar", "footer"}, {"nav", "sidebar", "footer", "menu", "comments"})
+
+
+def _tags_and_classes(selector: str) -> tuple[set[str], set[str]]:
+    parts = [part.strip() for part in selector.split(",")]
+    return {p for p in parts if not p.startswith(".")}, {p[1:] for p in parts if p.startswith(".")}
+
+
+CHROME, FRAME = _tags_and_classes(fixed.CHROME_SELECTOR), _tags_and_classes(fixed.PAGE_FRAME_SELECTOR)
 KEPT_ATTRS = {
     "rel", "role", "itemtype", "itemprop", "property", "name", "content", "href", "src", "data-src",
     "datetime", "class", "type",

@@ -53,7 +53,7 @@ RANGE_ROWS, NODES = 32_768, 200_000
 #: Fingerprints sent to one copy of a range.
 ASKING = 1_000_000
 #: Query and node pairs looked at together.
-FRONTIER = 1_000_000
+FRONTIER = 200_000
 #: The quarter of the bits in front.
 FRONT = 0xFFFF << 48
 

@@ -1,6 +1,7 @@
 """Embedding duplicates over all earlier rows, against brute force."""
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +81,15 @@ def test_empty_tables(spark):
     df = frame(spark, [])
     assert earlier_matches(df, "id", "vec").count() == 0
     assert earlier_matches(frame(spark, ODD[:2]), "id", "vec").count() == 0
+
+
+def test_a_vector_is_sent_once_to_a_bin_of_many_cells(spark):
+    """Spread evenly, a vector looks into most cells; sent to each of them, it moved more than a hundred times."""
+    rnd = random.Random(5)
+    rows = [(i, "a", [rnd.gauss(0, 1) for _ in range(16)]) for i in range(1500)]
+    df = frame(spark, rows)
+    similar = CosineSimilar(df, "id", "vec", None, 0.35, 64, 500)
+    assert similar.rows.agg(F.sum(F.size("asks"))).first()[0] <= 4 * len(rows)
+    found = earlier_matches(df, "id", "vec", threshold=0.7)
+    want = {(a[0], b[0]) for a in rows for b in rows[:a[0]] if cosine(a[2], b[2]) > 0.7}
+    assert want and {r["id"]: r["n_matches"] for r in found.collect()} == dict(Counter(a for a, _ in want))

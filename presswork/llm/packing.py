@@ -47,12 +47,17 @@ UNIT_RESTS = 100_000
 #: Documents cut inside their rest whose keys are sent to the tasks that read the texts.
 CUT_KEYS = 1_000_000
 #: Separators and letters on which Python's splitting or lower-casing and the tokenizer's may differ, and special tokens.
-_ODD = re.compile("[\x1c-\x1f\u03a3\u0130]|<\\|")
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "\u0130", "<|")
 #: Composed Latin letters, and marks that never take part in a contraction.
 _PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[.,;:!?()*#$%&|-]+")
 _WHOLLY_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff.,;:!?()*#$%&|-]+\\Z")
 
 
+def _odd(text: str) -> bool:
+    """Whether a text holds any of ``_ODD``; plain searches, as a pattern would look at one character after the other."""
+    return any(sign in text for sign in _ODD)
+
+
 class ChunkEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes.
 
@@ -111,7 +116,7 @@ class ChunkEncoder:
         size = 0
         for text in texts:
             text = text or ""
-            lot.append(self._encoded([text])[0] if _ODD.search(text) else text.lower().split())
+            lot.append(self._encoded([text])[0] if _odd(text) else text.lower().split())
             size += len(text)
             if size >= LOT_CHARS:
                 yield from self._looked_up(lot)

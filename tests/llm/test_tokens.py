@@ -1,5 +1,6 @@
 """Operators 6 and 7 against the tokenizers library."""
 import random
+import re
 import time
 import zlib
 
@@ -151,3 +152,11 @@ def test_packs(spark, corpus, length):
 
 def test_packs_of_nothing(spark, corpus):
     assert packing.pack(corpus.frame(spark, []), tokenizer_path("word_bpe_49k.json")).count() == 0
+
+
+def test_odd_texts_are_found_by_plain_searches():
+    """What goes to the tokenizer uncut, told without a pattern over each character of each text."""
+    pattern = re.compile("[\x1c-\x1fΣİ]|<\\|")
+    signs = [chr(c) for c in range(0x500)] + ["<|", "<", "|", "|<", "a<|pad|>", ""]
+    assert [packing._odd(f"x{s}y") for s in signs] == [bool(pattern.search(f"x{s}y")) for s in signs]
+    assert all(isinstance(sign, str) for sign in packing._ODD)

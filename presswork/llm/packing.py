@@ -36,10 +36,10 @@ from .common import landed, strings, worker_slot
 
 LENGTH = 4096
 END = 2
-#: Chunks of text, and pieces of them, that a worker remembers.
+#: Pieces of text that a worker remembers from lot to lot, about.
 MEMORY = 700_000
-#: Characters of text whose chunks are looked up together.
-LOT_CHARS = 1 << 20
+#: Characters of text whose pieces are looked up together, and pieces that the tokenizer sees at once.
+LOT_CHARS, LEARN_ROWS = 1 << 22, 20_000
 #: Documents in a shard of the ranking, about, and ranks that one task turns into rows.
 SHARD_ROWS, SPAN_ROWS = 50_000, 50_000
 #: Rests packed one by one at a time; more of them are packed in equal bundles first.
@@ -48,9 +48,16 @@ UNIT_RESTS = 100_000
 CUT_KEYS = 1_000_000
 #: Separators and letters on which Python's splitting or lower-casing and the tokenizer's may differ, and special tokens.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "\u0130", "<|")
+#: What else separates words, as ``str.split`` has it.
+_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Composed Latin letters, and marks that never take part in a contraction.
 _PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]+|[.,;:!?()*#$%&|-]+")
-_WHOLLY_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff.,;:!?()*#$%&|-]+\\Z")
+#: Kinds of bytes; letters beyond ASCII have two.
+_BLANK, _LETTER, _MARK, _OTHER = range(4)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[list(b" \t\n\x0b\x0c\r")] = _BLANK
+_KINDS[list(b"abcdefghijklmnopqrstuvwxyz")] = _LETTER
+_KINDS[list(b".,;:!?()*#$%&|-")] = _MARK
 
 
 def _odd(text: str) -> bool:
@@ -58,16 +65,43 @@ def _odd(text: str) -> bool:
     return any(sign in text for sign in _ODD)
 
 
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte of a lower-cased text in UTF-8."""
+    kinds = _KINDS[data]
+    lead = np.flatnonzero(data == 0xC3)
+    follow = data[lead + 1]
+    lead = lead[(follow >= 0x9F) & (follow != 0xB7)]
+    kinds[lead] = kinds[lead + 1] = _LETTER
+    return kinds
+
+
+def _piece_starts(kinds: np.ndarray) -> np.ndarray:
+    """Where the pieces begin: runs of one kind, but a chunk between blanks that holds other signs is one piece."""
+    starts = np.flatnonzero(np.diff(kinds, prepend=np.uint8(_BLANK)))
+    kind = kinds[starts]
+    if (kind == _OTHER).any():
+        chunk = np.cumsum(kind == _BLANK)
+        whole = np.zeros(int(chunk[-1]) + 1, bool)
+        whole[chunk[kind == _OTHER]] = True
+        inside = whole[chunk] & (np.r_[_BLANK, kind[:-1]] != _BLANK)
+        starts, kind = starts[~inside | (kind == _BLANK)], kind[~inside | (kind == _BLANK)]
+    return starts[kind != _BLANK]
+
+
 class ChunkEncoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes.
 
     The vocabulary ignores case and no token spans white space or the border
     of letters and other signs, so a text's ids are those of its pieces in
-    turn.  Chunks between white space and their pieces are remembered; the
-    tokenizer sees each new piece once.
+    turn.  Texts are taken in lots: their pieces are found and numbered as
+    arrays, only distinct pieces are looked up, and the tokenizer sees each new
+    one.  What is remembered are arrays too; pieces met in one lot only since
+    the last time are forgotten when there are too many.
     """
 
     def __init__(self, path: str):
+        import pyarrow as pa
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,64 +112,107 @@ class ChunkEncoder:
         #: Whether a token ends a word.
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        #: The pieces, how many ids each has, all their ids, and the lots that had the piece.
+        self.known = pa.array([], pa.binary())
+        self.sizes, self.ids, self.lots = np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, np.int32)
 
-    def _encoded(self, texts: list[str]) -> list[bytes]:
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, "<u4") for e in found]
 
-    def _encoded_words(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that are one word to the tokenizer: encoded in one go and parted at the tokens that end a word."""
-        if not pieces:
-            return []
+    def _encoded_words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of pieces that are one word to the tokenizer: encoded in one go and parted at the tokens that end a word."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        cut = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-        if len(cut) != len(pieces):
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(sizes) != len(pieces):
             raise ValueError("a piece is not one word of this vocabulary")
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *cut], cut)]
-
-    def _learn(self, chunks: set[str]) -> None:
-        # Plain words with plain marks around are cut here; anything else goes to the tokenizer as it is.
-        cut = {c: _PLAIN.findall(c) if _WHOLLY_PLAIN.match(c) else [c] for c in chunks}
-        known = self.pieces
-        fresh = {p for pieces in cut.values() for p in pieces if p not in known}
-        if len(known) + len(fresh) > MEMORY:
-            known.clear()
-            fresh = {p for pieces in cut.values() for p in pieces}
-        plain = [p for p in fresh if _PLAIN.fullmatch(p)]
-        known.update(zip(plain, self._encoded_words(plain)))
-        other = [p for p in fresh if p not in known]
-        known.update(zip(other, self._encoded(other)))
-        self.chunks.update((c, b"".join([known[p] for p in pieces])) for c, pieces in cut.items())
+        return sizes, ids
+
+    def _learn(self, fresh) -> None:
+        import pyarrow as pa
+
+        for at in range(0, len(fresh), LEARN_ROWS):
+            texts = [x.decode() for x in fresh.slice(at, LEARN_ROWS).to_pylist()]
+            plain = [k for k, x in enumerate(texts) if _PLAIN.fullmatch(x)]
+            alone = sorted({*range(len(texts))}.difference(plain))
+            sizes, ids = self._encoded_words([texts[k] for k in plain]) if plain else (np.zeros(0, np.int64), np.zeros(0, "<u4"))
+            other = self._encoded([texts[k] for k in alone])
+            order = np.array([*plain, *alone])
+            self.known = pa.concat_arrays([self.known, fresh.slice(at, LEARN_ROWS).take(pa.array(order))])
+            self.sizes = np.concatenate([self.sizes, sizes, np.array([len(x) for x in other], np.int64)])
+            self.ids = np.concatenate([self.ids, ids, *other])
+            self.lots = np.concatenate([self.lots, np.zeros(len(texts), np.int32)])
+
+    def _forget(self) -> None:
+        import pyarrow as pa
+
+        kept = self.lots > 1
+        if kept.sum() > MEMORY // 2:
+            kept[:] = False
+        self.ids = self.ids[np.repeat(kept, self.sizes)]
+        self.known, self.sizes = self.known.filter(pa.array(kept)), self.sizes[kept]
+        self.lots = np.zeros(len(self.sizes), np.int32)
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of each text in turn; texts are taken in lots, so that many chunks are learnt at once."""
-        lot: list[list[str] | bytes] = []
+        """Ids of each text in turn; texts are taken in lots, so that many pieces are looked up at once."""
+        lot: list[str] = []
         size = 0
         for text in texts:
-            text = text or ""
-            lot.append(self._encoded([text])[0] if _odd(text) else text.lower().split())
-            size += len(text)
+            lot.append(text or "")
+            size += len(lot[-1])
             if size >= LOT_CHARS:
                 yield from self._looked_up(lot)
                 lot, size = [], 0
         yield from self._looked_up(lot)
 
-    def _looked_up(self, lot: list[list[str] | bytes]) -> Iterator[bytes]:
-        find = self.chunks.get
-        parts = [chunks if isinstance(chunks, bytes) else [*map(find, chunks)] for chunks in lot]
-        fresh = {c for chunks, found in zip(lot, parts) if isinstance(found, list) and None in found for c, part in zip(chunks, found) if part is None}
-        if fresh:
-            if len(self.chunks) + len(fresh) > MEMORY:
-                self.chunks.clear()
-                fresh = set().union(*[chunks for chunks in lot if isinstance(chunks, list)])
-            self._learn(fresh)
-        for chunks, found in zip(lot, parts):
-            if isinstance(found, list):
-                found = b"".join(map(find, chunks) if None in found else found)
-            yield found
+    def _looked_up(self, lot: list[str]) -> Iterator[bytes]:
+        odd = {k: text for k, text in enumerate(lot) if _odd(text)}
+        ids, ends = self._ids([b"" if k in odd else self._lowered(text) for k, text in enumerate(lot)])
+        for k, (begin, end) in enumerate(zip([0, *ends], ends)):
+            yield (self._encoded([odd[k]])[0] if k in odd else ids[begin:end]).tobytes()
+
+    @staticmethod
+    def _lowered(text: str) -> bytes:
+        text = text.lower()
+        if not text.isascii():
+            for sign in _BLANKS:
+                if sign in text:
+                    text = text.replace(sign, " ")
+        return text.encode()
+
+    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The ids of lower-cased texts one after the other, and where each text's end."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        kinds = _kinds(data)
+        starts = _piece_starts(kinds)
+        filled = np.r_[0, np.cumsum(kinds != _BLANK, dtype=np.int32)]
+        places = np.append(filled[starts], filled[-1:])
+        pieces = pa.Array.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer(places.astype(np.int32)), pa.py_buffer(data[kinds != _BLANK])]).dictionary_encode()
+        upto = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts]))
+        del kinds, filled, starts, places
+        distinct = pieces.dictionary
+        if len(self.known) > MEMORY:
+            self._forget()
+        found = pc.index_in(distinct, value_set=self.known)
+        if found.null_count:
+            self._learn(distinct.filter(found.is_null()))
+            found = pc.index_in(distinct, value_set=self.known)
+        found = found.to_numpy()
+        self.lots[found] += 1
+        sizes = self.sizes[found]
+        begins = (np.cumsum(self.sizes) - self.sizes)[found]
+        # The ids of the distinct pieces of the lot lie close together.
+        near = np.cumsum(sizes) - sizes
+        ids = self.ids[np.repeat(begins - near, sizes) + np.arange(sizes.sum())]
+        each = pieces.indices.to_numpy()
+        n = sizes[each]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(near[each] - (ends - n), n) + np.arange(n.sum())]
+        return out, np.r_[0, ends][upto].tolist()
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -2,6 +2,7 @@
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -160,3 +161,26 @@ def test_odd_texts_are_found_by_plain_searches():
     signs = [chr(c) for c in range(0x500)] + ["<|", "<", "|", "|<", "a<|pad|>", ""]
     assert [packing._odd(f"x{s}y") for s in signs] == [bool(pattern.search(f"x{s}y")) for s in signs]
     assert all(isinstance(sign, str) for sign in packing._ODD)
+
+
+def test_what_is_remembered_of_many_words_is_small():
+    """Workers of two tasks keep it beside an executor's heap: no objects for each word."""
+    rnd = random.Random(9)
+    texts = [" ".join("".join(rnd.choices("abdeginorst", k=9)) + rnd.choice(["", ",", ".##"]) for _ in range(4000)) for _ in range(30)]
+    own = packing.ChunkEncoder(tokenizer_path("word_bpe_49k.json"))
+    tracemalloc.start()
+    for _ in own.encode_all(texts):
+        pass
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 120 * 4000 * 30
+
+
+def test_forgetting_pieces_changes_no_ids(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY", 20)
+    monkeypatch.setattr(packing, "LOT_CHARS", 100)
+    own, whole = packing.ChunkEncoder(tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    blanks = [f"a{c}b, Été{c} ÷x÷ ß{c}" for c in packing._BLANKS + "\x00\x07​﻿"]
+    texts = [*fuzz(n=100), *blanks, None, "", " ", "the the", "Ã", "x÷"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)]
+    assert got == [e.ids for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]

@@ -39,7 +39,7 @@ END = 2
 #: Pieces of text that a worker remembers from lot to lot, about.
 MEMORY = 700_000
 #: Characters of text whose pieces are looked up together, and pieces that the tokenizer sees at once.
-LOT_CHARS, LEARN_ROWS = 1 << 22, 20_000
+LOT_CHARS, LEARN_ROWS = 1 << 21, 5_000
 #: Documents in a shard of the ranking, about, and ranks that one task turns into rows.
 SHARD_ROWS, SPAN_ROWS = 50_000, 50_000
 #: Rests packed one by one at a time; more of them are packed in equal bundles first.
@@ -131,17 +131,21 @@ class ChunkEncoder:
     def _learn(self, fresh) -> None:
         import pyarrow as pa
 
+        known, all_sizes, all_ids = [self.known], [self.sizes], [self.ids]
         for at in range(0, len(fresh), LEARN_ROWS):
             texts = [x.decode() for x in fresh.slice(at, LEARN_ROWS).to_pylist()]
             plain = [k for k, x in enumerate(texts) if _PLAIN.fullmatch(x)]
             alone = sorted({*range(len(texts))}.difference(plain))
-            sizes, ids = self._encoded_words([texts[k] for k in plain]) if plain else (np.zeros(0, np.int64), np.zeros(0, "<u4"))
+            if plain:
+                sizes, ids = self._encoded_words([texts[k] for k in plain])
+                all_sizes.append(sizes)
+                all_ids.append(ids)
             other = self._encoded([texts[k] for k in alone])
-            order = np.array([*plain, *alone])
-            self.known = pa.concat_arrays([self.known, fresh.slice(at, LEARN_ROWS).take(pa.array(order))])
-            self.sizes = np.concatenate([self.sizes, sizes, np.array([len(x) for x in other], np.int64)])
-            self.ids = np.concatenate([self.ids, ids, *other])
-            self.lots = np.concatenate([self.lots, np.zeros(len(texts), np.int32)])
+            all_sizes.append(np.array([len(x) for x in other], np.int64))
+            all_ids += other
+            known.append(fresh.slice(at, LEARN_ROWS).take(pa.array([*plain, *alone])))
+        self.known, self.sizes, self.ids = pa.concat_arrays(known), np.concatenate(all_sizes), np.concatenate(all_ids)
+        self.lots = np.concatenate([self.lots, np.zeros(len(fresh), np.int32)])
 
     def _forget(self) -> None:
         import pyarrow as pa

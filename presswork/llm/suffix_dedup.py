@@ -50,6 +50,8 @@ SEGMENT = 1 << 20
 #: Sample keys in a bucket, about.
 BUCKET_KEYS = 2_000_000
 NO_ID = (1 << 63) - 1
+#: Powers in a table of the hashes, which workers keep.
+BLOCK = 1 << 16
 
 MESSAGE = "dest long, src long, kind int, head binary, body binary"
 _MESSAGE = pa.schema([("dest", pa.int64()), ("src", pa.int64()), ("kind", pa.int32()), ("head", pa.binary()), ("body", pa.binary())])
@@ -100,11 +102,15 @@ def _hash_parameters(salt: int) -> tuple[np.ndarray, int, int]:
     return table, base, pow(base, -1, 1 << 64)
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+@lru_cache(maxsize=16)
+def _powers(base: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base in two small tables: of 0 to BLOCK - 1, and of the multiples of BLOCK."""
+    def upto(base: int, size: int) -> np.ndarray:
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    return upto(base, BLOCK), upto(pow(base, BLOCK, 1 << 64), blocks)
 
 
 class Hasher:
@@ -112,14 +118,20 @@ class Hasher:
 
     def __init__(self, buffer: np.ndarray, salt: int):
         table, base, self.inverse = _hash_parameters(salt)
-        self.size = 1 << max(16, int(len(buffer)).bit_length())
+        self.blocks = 1 << max(6, (len(buffer) // BLOCK).bit_length())
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.multiply(table[buffer], _powers(base, self.size)[:len(buffer)], out=self.sums[1:])
+        low, high = _powers(base, self.blocks)
+        for k in range(0, len(buffer), BLOCK):
+            part = self.sums[k + 1:k + 1 + BLOCK]
+            np.multiply(table[buffer[k:k + BLOCK]], low[:len(part)], out=part)
+            part *= high[k // BLOCK]
         np.cumsum(self.sums, out=self.sums)
 
     def at(self, places: np.ndarray, length: int) -> np.ndarray:
         x = self.sums[places + length] - self.sums[places]
-        x *= _powers(self.inverse, self.size)[places]
+        low, high = _powers(self.inverse, self.blocks)
+        x *= low[places % BLOCK]
+        x *= high[places // BLOCK]
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(29))
@@ -187,7 +199,7 @@ class Group:
         turns = np.zeros(size + 1, np.int32)
         np.add.at(turns, np.maximum(places - PERIOD + 1, 0), 1)
         np.add.at(turns, places + 1, -1)
-        return np.flatnonzero((np.cumsum(turns[:-1]) > 0) & (self.room >= WINDOW))
+        return np.flatnonzero((np.cumsum(turns[:-1], dtype=np.int32) > 0) & (self.room >= WINDOW))
 
 
 class Suffixes:
@@ -369,7 +381,7 @@ def cut_step(n_buckets: int, width: int, keep: pa.Schema, with_text: bool):
             gone = late[found.run] | (found.owner > found.owner[found.heads][found.run])
             np.add.at(covered, found.starts[gone], 1)
             np.add.at(covered, found.starts[gone] + WINDOW, -1)
-        covered = np.cumsum(covered[:-1]) > 0
+        covered = np.cumsum(covered[:-1], dtype=np.int32) > 0
         sizes = docs.column("n").to_pylist()
         empty = hashlib.sha256(b"").hexdigest()
         rows, out = [], {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "part_of", "span_from", "span_to")}

@@ -1,6 +1,7 @@
 """Operators 1, 2, 5 and 10 against brute force."""
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -280,3 +281,18 @@ def test_lines_of_repeated_and_null_ids(spark, corpus):
     got = [(r["doc_id"], r["n_removed"]) for r in line_dedup.line_verdicts(corpus.frame(spark, rows)).collect()]
     assert sorted(got, key=repr) == [(7, 1), (7, 1), (None, 0)]
     assert line_dedup.line_verdicts(corpus.frame(spark, [])).count() == 0
+
+
+def test_hashes_leave_little_in_a_worker():
+    """Tables of powers stay in the worker, beside the stages that follow; equal strings hash alike wherever they lie."""
+    buffer = np.tile(np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz ", np.uint8), 60_000)
+    tracemalloc.start()
+    for salt in range(3):
+        hasher = suffix_dedup.Hasher(buffer, salt)
+        places = np.arange(5, len(buffer) - 50, 37)
+        assert len(set(hasher.at(places, 50).tolist())) == 1
+        assert len(set(hasher.at(np.arange(37), 50).tolist())) == 37
+    del hasher, places
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 10_000_000

@@ -8,21 +8,24 @@ and few of them have a partner, so the cover samples are ranked first:
    windows hold samples at the same distance from their starts, ``KEY`` bytes
    of which lie in both.  Sample keys are sorted bucket by bucket, and each
    document group learns which of its keys another group has too.
-2. Suffixes within reach of such a sample are the only ones that can tie.  They
-   are sorted bucket by bucket by their window, whose rank stands for its
-   bytes; a bucket knows the smallest document of each.
+2. Suffixes within reach of such a sample are the only ones that can tie.  The
+   least hash among the ``ANCHOR``-byte strings of a suffix's window names its
+   bucket, so neighbours mostly go to the same one, as one run of bytes.  They
+   are sorted bucket by bucket by their window; a bucket knows the smallest
+   document of each.
 3. Each group marks the bytes and cuts.
 
 Scale: texts move once, into groups of about ``GROUP_BYTES``, and all three
-steps read that exchange.  What moves between is sorted, packed keys: about
-three bytes for a sample and ten for a suffix with a possible partner.  Buckets
-and groups are bounded, whatever the number of documents; a passage shared by
-all is one key per group.  Copies of a whole text are found by digest first and
-leave one representative.  Texts over ``SEGMENT`` bytes are cut into segments
-that overlap by a window less a byte, so memory does not follow their length.
+steps read that exchange.  What moves between is packed: less than three bytes
+for a sample, and the bytes of each run of suffixes with possible partners, two
+or three for a suffix.  Groups are bounded, whatever the number of documents; a
+passage shared by all is one run per group, and a bucket is sorted ``LOT``
+suffixes at a time.  Copies of a whole text are found by digest first and leave
+one representative.  Texts over ``SEGMENT`` bytes are cut into segments that
+overlap by a window less a byte, so memory does not follow their length.
 
-Windows are compared by two independent polynomial hashes of together as many
-bits as hold the chance of any false match in the whole corpus below 2 ** -20.
+Windows are sorted by a hash, and those with the same hash compared byte by
+byte: no result rests on a hash.
 
 Edge cases: a null text is empty; rows of one id do not remove from each other;
 a null id counts as larger than all others; texts shorter than a window lose
@@ -31,7 +34,6 @@ nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import math
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -49,6 +51,11 @@ GROUP_BYTES = 1 << 21
 SEGMENT = 1 << 20
 #: Sample keys in a bucket, about.
 BUCKET_KEYS = 2_000_000
+#: Bytes of the strings that name a suffix's bucket.
+ANCHOR = 20
+#: Groups for each bucket of suffixes, and suffixes sorted at a time.
+BUCKET_GROUPS = 4
+LOT = 3 << 19
 NO_ID = (1 << 63) - 1
 #: Powers in a table of the hashes, which workers keep.
 BLOCK = 1 << 16
@@ -82,13 +89,34 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def packed(sorted_values: np.ndarray) -> bytes:
     """Differences of sorted unsigned numbers, byte plane by byte plane: high planes are mostly zero and compress away."""
     steps = np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
-    return steps.view(np.uint8).reshape(-1, sorted_values.itemsize).T.tobytes()
+    return _planes(steps)
 
 
 def unpacked(data: bytes, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(dtype).ravel(), dtype=dtype)
+    return np.cumsum(_from_planes(data, dtype), dtype=dtype)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def _key_message(dest: int, source: int, keys: np.ndarray) -> tuple:
+    """Sorted 32-bit keys for a bucket or a group."""
+    return (dest, source, SAMPLES, np.int64(len(keys)).tobytes(), _codec().compress(packed(keys), asbytes=True))
+
+
+def _message_keys(head: bytes, body: bytes) -> np.ndarray:
+    return unpacked(_codec().decompress(body, 4 * int(np.frombuffer(head, np.int64)[0]), asbytes=True), np.uint32)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, one after another."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 # ------------------------------------------------------------- hashes
@@ -127,7 +155,7 @@ class Hasher:
             part *= high[k // BLOCK]
         np.cumsum(self.sums, out=self.sums)
 
-    def at(self, places: np.ndarray, length: int) -> np.ndarray:
+    def at(self, places: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         x = self.sums[places + length] - self.sums[places]
         low, high = _powers(self.inverse, self.blocks)
         x *= low[places % BLOCK]
@@ -137,21 +165,6 @@ class Hasher:
         return x ^ (x >> np.uint64(29))
 
 
-def check_bytes(total: int) -> int:
-    """Bytes of the second hash that keep a false match anywhere among ``total`` windows below 2 ** -20."""
-    return int(min(8, max(2, -(-(2 * math.log2(max(2, total)) + 20 - 64) // 8))))
-
-
-def _low_bytes(values: np.ndarray, width: int) -> bytes:
-    return values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _from_low_bytes(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view(np.uint64).ravel()
-
-
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
@@ -202,32 +215,70 @@ class Group:
         return np.flatnonzero((np.cumsum(turns[:-1], dtype=np.int32) > 0) & (self.room >= WINDOW))
 
 
-class Suffixes:
-    """Window starts (ascending) sorted by (window, document)."""
+def _least_ahead(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of each value and the n - 1 behind it."""
+    step = 1
+    while 2 * step <= n:
+        values = np.minimum(values[:-step], values[step:])
+        step *= 2
+    return np.minimum(values[:len(values) - (n - step)], values[n - step:])
+
 
-    def __init__(self, group: Group, starts: np.ndarray, width: int):
-        # Only the bytes of the runs of starts are hashed.
+class Runs:
+    """Window starts (ascending) in runs of neighbours that go to one bucket, sorted by bucket; equal runs have one head, of the smallest document."""
+
+    def __init__(self, group: Group, starts: np.ndarray, n_buckets: int):
+        # Only the bytes of the windows are hashed.
         first = np.flatnonzero(np.r_[True, np.diff(starts) != 1])
         size = np.diff(np.r_[first, len(starts)])
         spans = size + WINDOW - 1
-        begin = np.cumsum(spans) - spans
-        bytes_at = np.repeat(starts[first] - begin, spans) + np.arange(spans.sum())
-        buffer, places = group.buffer[bytes_at], np.arange(len(starts)) + np.repeat(begin - first, size)
-        a, b = Hasher(buffer, 1).at(places, WINDOW), Hasher(buffer, 2).at(places, WINDOW)
-        b &= np.uint64((1 << 8 * width) - 1)
-        owner = group.owner(starts)
-        order = np.lexsort((owner, b, a))
-        self.starts, self.a, self.b, self.owner = starts[order], a[order], b[order], owner[order]
+        buffer = group.buffer[_ranges(starts[first], spans)]
+        places = _ranges(np.cumsum(spans) - spans, size)
+        hasher = Hasher(buffer, 1)
+        names = (hasher.at(np.arange(len(buffer) - ANCHOR + 1), ANCHOR) >> np.uint64(32)).astype(np.uint32)
+        least = _least_ahead(names, WINDOW - ANCHOR + 1)[places]
+        turn = np.ones(len(starts), bool)
+        turn[1:] = least[1:] != least[:-1]
+        turn[first] = True
+        first = np.flatnonzero(turn)
+        size, at = np.diff(np.r_[first, len(starts)]), places[first]
+        # Least hashes are small ones: they are spread anew.
+        bucket = _bucket(least[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), n_buckets).astype(np.int64)
+        owner, key = group.owner(starts[first]), hasher.at(at, size + WINDOW - 1)
+        order = np.lexsort((owner, size, key))
         new = np.ones(len(order), bool)
-        new[1:] = (self.a[1:] != self.a[:-1]) | (self.b[1:] != self.b[:-1])
-        self.heads = np.flatnonzero(new)
-        self.run = np.cumsum(new) - 1
-
-    def bounds(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets met, and where each begins among the distinct windows (with the end)."""
-        buckets = _bucket(self.a[self.heads], n_buckets)
-        first = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else np.zeros(0, np.int64)
-        return buckets[first].astype(np.int64), np.r_[first, len(buckets)]
+        new[1:] = (key[order][1:] != key[order][:-1]) | (size[order][1:] != size[order][:-1])
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        again = np.flatnonzero(~new)
+        if len(again):
+            spans = size[order[again]] + WINDOW - 1
+            other = buffer[_ranges(at[order[again]], spans)] != buffer[_ranges(at[order[head[again]]], spans)]
+            other = again[np.logical_or.reduceat(other, np.cumsum(spans) - spans)]
+            head[other] = other
+        heads = order[head == np.arange(len(order))]
+        heads = heads[np.lexsort((at[heads], owner[heads], bucket[heads]))]
+        number = np.empty(len(order), np.int64)
+        number[heads] = np.arange(len(heads))
+        self.starts, self.size, self.owner = starts[first], size, owner
+        self.heads, self.bucket, self.head = heads, bucket[heads], np.empty(len(order), np.int64)
+        self.head[order] = number[order[head]]
+        self.at, self.buffer = at[heads], buffer
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets met, and where each begins among the heads (with the end)."""
+        first = np.flatnonzero(np.r_[True, self.bucket[1:] != self.bucket[:-1]])
+        return self.bucket[first], np.r_[first, len(self.bucket)]
+
+    def messages(self, source: int) -> list[tuple]:
+        size, ids = self.size[self.heads], self.owner[self.heads]
+        text, ends = self.buffer.tobytes(), (self.at + size + WINDOW - 1).tolist()
+        pieces = [text[i:j] for i, j in zip(self.at.tolist(), ends)]
+        buckets, cut = self.bounds()
+        rows = []
+        for b, i, j in zip(buckets.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+            body = packed(ids[i:j].view(np.uint64)) + _planes(size[i:j].astype(np.uint32)) + b"".join(pieces[i:j])
+            rows.append((b, source, SUFFIXES, np.array([j - i, len(body)], np.int64).tobytes(), _codec().compress(body, asbytes=True)))
+        return rows
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
@@ -262,7 +313,7 @@ def sample_step(n_buckets: int):
         keys = _distinct(keys)
         cut = np.searchsorted(keys >> np.uint64(32), np.arange(n_buckets + 1, dtype=np.uint64))
         low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        rows = [(b, g, SAMPLES, b"", packed(low[cut[b]:cut[b + 1]])) for b in np.flatnonzero(np.diff(cut)).tolist()]
+        rows = [_key_message(b, g, low[cut[b]:cut[b + 1]]) for b in np.flatnonzero(np.diff(cut)).tolist()]
         # The groups' own notes pass through the bucket step unchanged.
         return _messages([*rows, (-1 - g, *_copy_message(g, copies)[1:])] if copies else rows)
 
@@ -274,17 +325,17 @@ def shared_samples(messages: pa.Table) -> pa.Table:
     sources, kinds = messages.column("src").to_pylist(), messages.column("kind").to_pylist()
     dest, heads, bodies = messages.column("dest")[0].as_py(), messages.column("head").to_pylist(), messages.column("body").to_pylist()
     out = [(-1 - dest, s, k, h, b) for s, k, h, b in zip(sources, kinds, heads, bodies) if k != SAMPLES]
-    sets = [(s, unpacked(b, np.uint32)) for s, k, b in zip(sources, kinds, bodies) if k == SAMPLES]
+    sets = [(s, _message_keys(h, b)) for s, k, h, b in zip(sources, kinds, heads, bodies) if k == SAMPLES]
     if len(sets) > 1:
         merged = np.sort(np.concatenate([x for _, x in sets]))
         shared = _distinct(merged[1:][merged[1:] == merged[:-1]])
         for source, own in sets:
             if len(hit := own[_among(own, shared)]):
-                out.append((source, dest, SAMPLES, b"", packed(hit)))
+                out.append(_key_message(source, dest, hit))
     return _messages(out)
 
 
-def suffix_step(n_sample_buckets: int, n_buckets: int, width: int):
+def suffix_step(n_sample_buckets: int, n_buckets: int):
     def run(docs: pa.Table, messages: pa.Table) -> pa.Table:
         worker_slot("suffixes")
         copies, g = _copies(messages), _g(docs, messages)
@@ -296,21 +347,13 @@ def suffix_step(n_sample_buckets: int, n_buckets: int, width: int):
         twice = twice[np.argsort(keys[twice])]
         own, owner = keys[twice], group.owner(places[twice])
         mixed = own[1:][(own[1:] == own[:-1]) & (owner[1:] != owner[:-1])]
-        told = [unpacked(b, np.uint32).astype(np.uint64) | np.uint64(s << 32) for s, k, b in zip(
-            messages.column("src").to_pylist(), messages.column("kind").to_pylist(), messages.column("body").to_pylist()) if k == SAMPLES]
+        told = [_message_keys(h, b).astype(np.uint64) | np.uint64(s << 32) for s, k, h, b in zip(
+            *(messages.column(c).to_pylist() for c in ("src", "kind", "head", "body"))) if k == SAMPLES]
         hot = _among(keys, _distinct(np.concatenate([mixed, *told])))
         starts = group.candidates(places[hot])
         rows = []
         if len(starts):
-            found = Suffixes(group, starts, width)
-            buckets, cut = found.bounds(n_buckets)
-            for b, i, j in zip(buckets.tolist(), cut[:-1], cut[1:]):
-                heads = found.heads[i:j]
-                ids, rank = np.unique(found.owner[heads], return_inverse=True)
-                planes = rank.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-                body = packed(found.a[heads]) + _low_bytes(found.b[heads], width) + planes
-                head = np.array([j - i, len(ids)], np.int64).tobytes()
-                rows.append((b, g, SUFFIXES, head, _codec().compress(body + packed(ids.view(np.uint64)), asbytes=True)))
+            rows = Runs(group, starts, n_buckets).messages(g)
             first = np.flatnonzero(np.r_[True, np.diff(starts) != 1])
             runs = np.stack([starts[first], np.diff(np.r_[first, len(starts)])])
             rows.append((-1 - g, g, MARKS, b"", runs.astype(np.int64).tobytes()))
@@ -321,32 +364,70 @@ def suffix_step(n_sample_buckets: int, n_buckets: int, width: int):
     return run
 
 
-def earliest_suffixes(messages: pa.Table, width: int) -> pa.Table:
+def _sorted_windows(text: np.ndarray, places: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the windows at ``places`` that puts equal ones together, and where in it another begins."""
+    order = np.argsort(keys)
+    new = np.ones(len(order), bool)
+    keys = keys[order]
+    new[1:] = keys[1:] != keys[:-1]
+    again = np.flatnonzero(~new)
+    p, q = places[order[again]], places[order[np.flatnonzero(new)[np.cumsum(new)[again] - 1]]]
+    strings = np.ndarray(len(text) - WINDOW + 1, f"V{WINDOW}", text, strides=(1,))
+    if any(strings[p[k:k + BLOCK]].tobytes() != strings[q[k:k + BLOCK]].tobytes() for k in range(0, len(p), BLOCK)):
+        words = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+        columns = [words[places + k] for k in (*range(0, WINDOW - 8, 8), WINDOW - 8)]
+        order = np.lexsort(columns)
+        new[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    return order, new
+
+
+def _late(text: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of runs of ``size`` windows each, one after another in ``text``: which windows a document before their own has too."""
+    begin = np.r_[0, np.cumsum(size)]
+    late = np.zeros(begin[-1], bool)
+    lots = 1 + len(late) // LOT
+    # About LOT windows are hashed at a time, and those of one lot kept.
+    cuts = np.unique(np.r_[np.searchsorted(begin, np.arange(0, len(late), LOT)), len(size)])
+    for lot in range(lots):
+        found = []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            run = np.repeat(np.arange(i, j), size[i:j])
+            windows = np.arange(begin[i], begin[j])
+            places, origin = windows + (WINDOW - 1) * run, begin[i] + (WINDOW - 1) * i
+            keys = Hasher(text[origin:begin[j] + (WINDOW - 1) * j], 1).at(places - origin, WINDOW)
+            mine = keys % np.uint64(lots) == lot if lots > 1 else slice(None)
+            found.append((windows[mine], places[mine], ids[run[mine]], keys[mine]))
+        windows, places, owner, keys = (np.concatenate(x) for x in zip(*found))
+        del found
+        if not len(windows):
+            continue
+        order, new = _sorted_windows(text, places, keys)
+        least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
+        late[windows[order]] = owner[order] > least[np.cumsum(new) - 1]
+    return late
+
+
+def earliest_suffixes(messages: pa.Table) -> pa.Table:
     """Sort one bucket of suffixes; tell each group which of its windows a document before its own first has."""
+    worker_slot("suffixes")
     sources, kinds = messages.column("src").to_pylist(), messages.column("kind").to_pylist()
-    dest, heads, bodies = messages.column("dest")[0].as_py(), messages.column("head").to_pylist(), messages.column("body").to_pylist()
-    out = [(-1 - dest, s, k, h, b) for s, k, h, b in zip(sources, kinds, heads, bodies) if k != SUFFIXES]
-    parts = []
-    for s, k, head, body in zip(sources, kinds, heads, bodies):
-        if k != SUFFIXES:
-            continue
-        n, n_ids = np.frombuffer(head, np.int64).tolist()
-        body = _codec().decompress(body, (12 + width) * n + 8 * n_ids, asbytes=True)
-        ids = unpacked(body[(12 + width) * n:], np.uint64).view(np.int64)
-        rank = np.frombuffer(body[(8 + width) * n:(12 + width) * n], np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
-        parts.append((s, unpacked(body[:8 * n], np.uint64), _from_low_bytes(body[8 * n:(8 + width) * n], width), ids[rank]))
-    if len(parts) > 1:
-        a, b, ids = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
-        order = np.lexsort((ids, b, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        least = ids[order][new][np.cumsum(new) - 1]
-        late = np.zeros(len(order), bool)
-        late[order] = ids[order] > least
+    dest, heads, bodies = messages.column("dest")[0].as_py(), messages.column("head").to_pylist(), messages.column("body")
+    out = [(-1 - dest, s, k, h, bodies[r].as_py()) for r, (s, k, h) in enumerate(zip(sources, kinds, heads)) if k != SUFFIXES]
+    runs, texts = [], []
+    for r, (s, k, head) in enumerate(zip(sources, kinds, heads)):
+        if k == SUFFIXES:
+            n, length = np.frombuffer(head, np.int64).tolist()
+            body = _codec().decompress(bodies[r].as_buffer(), length, asbytes=True)
+            runs.append((s, unpacked(body[:8 * n], np.uint64).view(np.int64), _from_planes(body[8 * n:12 * n], np.uint32).astype(np.int64)))
+            texts.append(body[12 * n:])
+    if runs:
+        text = np.frombuffer(b"".join(texts), np.uint8)
+        texts.clear()
+        late = _late(text, np.concatenate([x[2] for x in runs]), np.concatenate([x[1] for x in runs]))
         at = 0
-        for s, own, _, _ in parts:
-            mine = late[at:at + len(own)]
-            at += len(own)
+        for s, _, size in runs:
+            mine = late[at:at + size.sum()]
+            at += len(mine)
             if mine.any():
                 out.append((s, dest, SUFFIXES, b"", np.packbits(mine).tobytes()))
     return _messages(out)
@@ -357,7 +438,7 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def cut_step(n_buckets: int, width: int, keep: pa.Schema, with_text: bool):
+def cut_step(n_buckets: int, keep: pa.Schema, with_text: bool):
     """Rows (columns of ``keep``, n_bytes, n_removed, n_spans, kept_sha256, text, tk, spans) of whole texts; segments give spans."""
     def run(docs: pa.Table, messages: pa.Table) -> pa.Table:
         worker_slot("suffixes")
@@ -369,18 +450,19 @@ def cut_step(n_buckets: int, width: int, keep: pa.Schema, with_text: bool):
             if kind != MARKS:
                 continue
             first, size = np.frombuffer(body, np.int64).reshape(2, -1)
-            starts = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-            found = Suffixes(group, starts, width)
-            late = np.zeros(len(found.heads), bool)
-            buckets, cut = found.bounds(n_buckets)
-            place = {b: (i, j) for b, i, j in zip(buckets.tolist(), cut[:-1].tolist(), cut[1:].tolist())}
+            found = Runs(group, _ranges(first, size), n_buckets)
+            end = np.r_[0, np.cumsum(found.size[found.heads])]
+            late = np.zeros(end[-1], bool)
+            buckets, cut = found.bounds()
+            place = {b: (i, j) for b, i, j in zip(buckets.tolist(), end[cut[:-1]].tolist(), end[cut[1:]].tolist())}
             for k, s, bits in zip(kinds, sources, bodies):
                 if k == SUFFIXES:
                     i, j = place[s]
                     late[i:j] = np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
-            gone = late[found.run] | (found.owner > found.owner[found.heads][found.run])
-            np.add.at(covered, found.starts[gone], 1)
-            np.add.at(covered, found.starts[gone] + WINDOW, -1)
+            gone = late[_ranges(end[found.head], found.size)] | np.repeat(found.owner > found.owner[found.heads][found.head], found.size)
+            gone = _ranges(found.starts, found.size)[gone]
+            np.add.at(covered, gone, 1)
+            np.add.at(covered, gone + WINDOW, -1)
         covered = np.cumsum(covered[:-1], dtype=np.int32) > 0
         sizes = docs.column("n").to_pylist()
         empty = hashlib.sha256(b"").hexdigest()
@@ -498,17 +580,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", carry: tuple[str, ...]
     plain = cut.select(group.alias("g"), "id", "tk", "seg", "n", *[f"c_{c}" for c in carry],
                        F.substring("data", F.col("seg") * SEGMENT + 1, F.lit(SEGMENT + WINDOW - 1)).alias("part"))
     parts = plain.mapInArrow(_squeeze, StructType([*plain.schema.fields, StructField("size", LongType())]))
-    width = check_bytes(total)
+    n_buckets = -(-n_groups // BUCKET_GROUPS)
 
     def step(messages: DataFrame, fn, schema: str) -> DataFrame:
         return parts.groupBy("g").cogroup(messages.groupBy("dest")).applyInArrow(fn, schema)
 
     sampled = step(copies, sample_step(n_sample_buckets), MESSAGE).groupBy("dest").applyInArrow(shared_samples, MESSAGE)
-    suffixes = step(sampled, suffix_step(n_sample_buckets, n_groups, width), MESSAGE).groupBy("dest").applyInArrow(
-        lambda messages: earliest_suffixes(messages, width), MESSAGE)
+    suffixes = step(sampled, suffix_step(n_sample_buckets, n_buckets), MESSAGE).groupBy("dest").applyInArrow(earliest_suffixes, MESSAGE)
     kept = parts.select("id", "tk", *[f"c_{c}" for c in carry])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    made = step(suffixes, cut_step(n_groups, width, to_arrow_schema(kept.schema), with_text), f"{schema}, {_RESULT}")
+    made = step(suffixes, cut_step(n_buckets, to_arrow_schema(kept.schema), with_text), f"{schema}, {_RESULT}")
     columns = ["id", "tk", *[f"c_{c}" for c in carry], "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_text"]
     whole = made.filter(F.col("_part_of").isNull()).select(*columns)
     longer = named.filter(F.octet_length("data") > SEGMENT + WINDOW - 1)

@@ -4,6 +4,8 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -230,6 +232,63 @@ def test_repeats_keep_columns(spark, corpus):
     assert suffix_dedup.without_repeats(docs.limit(0)).count() == 0
 
 
+def moved(df):
+    """Bytes that the shuffles of a query write."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        elif node.nodeName() != "ReusedExchange":
+            if node.metrics().contains("shuffleBytesWritten"):
+                total += node.metrics().apply("shuffleBytesWritten").value()
+            todo.extend(node.children().apply(k) for k in range(node.children().size()))
+    return total
+
+
+def test_repeats_move_little(spark, corpus, monkeypatch):
+    """Suffixes with possible partners move as runs of bytes, not as a hash for each."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 100_000)
+    rnd = random.Random(5)
+    pool = ["".join(rnd.choice("abcdefghijklmnop ") for _ in range(400)) for _ in range(400)]
+    rows = [(k, "".join(rnd.sample(pool, 8)), None, None, None) for k in range(300)]
+    size = sum(len(r[1]) for r in rows)
+    assert size < moved(suffix_dedup.suffix_query(corpus.frame(spark, rows))) < 6 * size
+
+
+def run_steps(rows, n_groups, n_buckets):
+    """(id, n_removed) of rows (id, bytes), by the three steps in this process."""
+    def dealt(tables):
+        table = pa.concat_tables(tables)
+        return {d: table.filter(pa.compute.equal(table["dest"], d)) for d in set(table["dest"].to_pylist())}
+
+    def step(fn, messages):
+        return [fn(d, messages.get(g, suffix_dedup._messages([]))) for g, d in docs.items()]
+
+    docs = {}
+    for g in range(n_groups):
+        own = [(g, i, k, 0, len(t), suffix_dedup._codec().compress(t, asbytes=True), len(t)) for k, (i, t) in enumerate(rows) if k % n_groups == g]
+        docs[g] = pa.table(dict(zip(("g", "id", "tk", "seg", "n", "part", "size"), map(list, zip(*own)))))
+    told = dealt([suffix_dedup.shared_samples(m) for m in dealt(step(suffix_dedup.sample_step(3), {})).values()])
+    late = dealt([suffix_dedup.earliest_suffixes(m) for m in dealt(step(suffix_dedup.suffix_step(3, n_buckets), told)).values()])
+    kept = step(suffix_dedup.cut_step(n_buckets, pa.schema([("id", pa.int64())]), False), late)
+    return sorted((i, n) for t in kept for i, n in zip(t["id"].to_pylist(), t["_n_removed"].to_pylist()))
+
+
+@pytest.mark.parametrize("lot", [1 << 21, 500])
+def test_repeats_do_not_rest_on_hashes(corpus, monkeypatch, lot):
+    """With hashes of seven values only the bytes tell strings apart; many lots; ids below zero and repeated ones."""
+    at = suffix_dedup.Hasher.at
+    monkeypatch.setattr(suffix_dedup.Hasher, "at", lambda self, places, length: at(self, places, length) % np.uint64(7) * np.uint64(0x2492492492492492))
+    monkeypatch.setattr(suffix_dedup, "LOT", lot)
+    rows = [(r[0] // 2 - 9, r[1]) for r in corpus.rows if r[1]]
+    want = sorted((r[0], int(gone.sum())) for r, (_, gone) in zip(rows, slow_removal(rows)))
+    assert run_steps([(i, t.encode()) for i, t in rows], 4, 3) == want
+
+
 # ------------------------------------------------------------- 10: lines
 
 def near(a, b):

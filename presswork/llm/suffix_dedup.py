@@ -25,7 +25,7 @@ one representative.  Texts over ``SEGMENT`` bytes are cut into segments that
 overlap by a window less a byte, so memory does not follow their length.
 
 Windows are sorted by a hash, and those with the same hash compared byte by
-byte: no result rests on a hash.
+byte.  Whole copies alone rest on hashes (SHA-256; XXH64 among rows of one id).
 
 Edge cases: a null text is empty; rows of one id do not remove from each other;
 a null id counts as larger than all others; texts shorter than a window lose

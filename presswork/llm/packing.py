@@ -32,7 +32,7 @@ from itertools import count
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import landed, strings, worker_slot
+from .common import give_back, landed, strings, worker_slot
 
 LENGTH = 4096
 END = 2
@@ -243,6 +243,7 @@ def measured(docs: DataFrame, path: str, id_col: str = "doc_id", length: int = L
             yield pa.RecordBatch.from_arrays(
                 [batch.column(id_col), batch.column("tk"), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))],
                 names=[id_col, "tk", "n", "crcs"])
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(id_col, F.xxhash64("text").alias("tk"), "text")
@@ -263,6 +264,7 @@ def cut_checksums(docs: DataFrame, cuts: DataFrame, path: str, id_col: str = "do
                 ids = memoryview(data + last)
                 out.append([p | {"crc": zlib.crc32(ids[4 * p["start"]:4 * (p["start"] + p["length"])])} for p in pieces])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, result)], names=["id", "pieces"])
+            give_back()
 
     import pyarrow as pa
 
@@ -418,6 +420,8 @@ def _ranked(rests: DataFrame, shards: int, id_col: str) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", length: int = LENGTH, end: int = END) -> DataFrame:
     """A row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
+    import pyarrow as pa
+
     spark = docs.sparkSession
     sized = landed(measured(docs, path, id_col, length, end), "packing-sizes")
     rested = sized.withColumns({"rest": F.col("n") % length, "whole": F.floor(F.col("n") / length)})
@@ -429,8 +433,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", length: int = LENGT
     for p in packs:
         rows += [(n, rank, rank + p.count, base, start, size, at) for n, rank, start, size, at in p.entries]
         base += p.count
-    patterns = spark.createDataFrame(
-        rows, "rest long, first long, last long, sequence long, start long, size long, offset long")
+    # As an Arrow table it is read by the driver alone; a list of rows would start further Python workers to unpack it.
+    columns = ["rest", "first", "last", "sequence", "start", "size", "offset"]
+    patterns = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in list(zip(*rows)) or [[]] * 7], names=columns))
     # A row for each pack and entry, which meets the document of its rank; long runs are dealt out first.
     runs = patterns.withColumn("from", F.explode(F.sequence("first", F.col("last") - 1, F.lit(SPAN_ROWS).cast("long")))).repartition(
         max(spark.sparkContext.defaultParallelism, n_docs // SHARD_ROWS))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import worker_slot
+from .common import give_back, worker_slot
 
 WINDOW = 50
 #: A difference cover: every distance modulo PERIOD lies between two of COVER.
@@ -583,10 +583,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", carry: tuple[str, ...]
     n_buckets = -(-n_groups // BUCKET_GROUPS)
 
     def step(messages: DataFrame, fn, schema: str) -> DataFrame:
-        return parts.groupBy("g").cogroup(messages.groupBy("dest")).applyInArrow(fn, schema)
+        def run(docs: pa.Table, messages: pa.Table) -> pa.Table:
+            out = fn(docs, messages)
+            give_back()
+            return out
 
-    sampled = step(copies, sample_step(n_sample_buckets), MESSAGE).groupBy("dest").applyInArrow(shared_samples, MESSAGE)
-    suffixes = step(sampled, suffix_step(n_sample_buckets, n_buckets), MESSAGE).groupBy("dest").applyInArrow(earliest_suffixes, MESSAGE)
+        return parts.groupBy("g").cogroup(messages.groupBy("dest")).applyInArrow(run, schema)
+
+    def bucket_step(messages: DataFrame, fn) -> DataFrame:
+        def run(messages: pa.Table) -> pa.Table:
+            out = fn(messages)
+            give_back()
+            return out
+
+        return messages.groupBy("dest").applyInArrow(run, MESSAGE)
+
+    sampled = bucket_step(step(copies, sample_step(n_sample_buckets), MESSAGE), shared_samples)
+    suffixes = bucket_step(step(sampled, suffix_step(n_sample_buckets, n_buckets), MESSAGE), earliest_suffixes)
     kept = parts.select("id", "tk", *[f"c_{c}" for c in carry])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     made = step(suffixes, cut_step(n_buckets, to_arrow_schema(kept.schema), with_text), f"{schema}, {_RESULT}")

@@ -1,6 +1,9 @@
 """The pipeline's stages against brute force, and odd tables."""
+import numpy as np
+
 import corpus_pipeline
 from presswork.llm import simhash
+from presswork.llm.common import worker_slot
 
 
 def _kept(rows):
@@ -49,3 +52,36 @@ def test_pipeline_runs_on_odd_tables(spark, corpus, tmp_path):
     assert got and all(r["offset"] + r["length"] <= 4096 for r in got)
     sf = _tables(spark, tmp_path / "empty", corpus.frame(spark, []), labels.limit(0))
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def _own_mb():
+    with open("/proc/self/status") as lines:
+        return next(int(x.split()[1]) for x in lines if x.startswith("RssAnon")) / 1024
+
+
+def test_a_worker_gives_back_what_the_operator_before_kept():
+    """Between stages a worker lies idle beside the executor's heap."""
+    worker_slot("one")["rows"] = [np.ones(512) for _ in range(30_000)]
+    above = np.ones(512)  # keeps the allocator's end where it is
+    most = _own_mb()
+    assert worker_slot("another") == {}
+    assert above.sum() and _own_mb() < most - 60
+
+
+def test_stages_send_short_batches(spark, corpus):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for asked, got in (("10000", 1000), ("0", 1000), ("7", 7)):
+            spark.conf.set(key, asked)
+            corpus_pipeline.drop_repeated_strings(spark, corpus.frame(spark), "")
+            assert int(spark.conf.get(key)) == got
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_packing_patterns_need_no_python_workers(spark, corpus, tmp_path):
+    """A list of rows would be unpacked by workers of their own, beside those that encode."""
+    corpus.frame(spark).write.parquet(f"{tmp_path}/docs")
+    plan = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/docs"), "")._jdf.queryExecution().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan

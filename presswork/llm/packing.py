@@ -128,10 +128,11 @@ class ChunkEncoder:
             raise ValueError("a piece is not one word of this vocabulary")
         return sizes, ids
 
-    def _learn(self, fresh) -> None:
+    def _learn(self, fresh) -> np.ndarray:
+        """Remember distinct pieces that are not known; where each of them is now."""
         import pyarrow as pa
 
-        known, all_sizes, all_ids = [self.known], [self.sizes], [self.ids]
+        known, all_sizes, all_ids, order = [self.known], [self.sizes], [self.ids], []
         for at in range(0, len(fresh), LEARN_ROWS):
             texts = [x.decode() for x in fresh.slice(at, LEARN_ROWS).to_pylist()]
             plain = [k for k, x in enumerate(texts) if _PLAIN.fullmatch(x)]
@@ -144,8 +145,12 @@ class ChunkEncoder:
             all_sizes.append(np.array([len(x) for x in other], np.int64))
             all_ids += other
             known.append(fresh.slice(at, LEARN_ROWS).take(pa.array([*plain, *alone])))
+            order += [at + k for k in (*plain, *alone)]
+        places = np.empty(len(fresh), np.int64)
+        places[order] = len(self.sizes) + np.arange(len(fresh))
         self.known, self.sizes, self.ids = pa.concat_arrays(known), np.concatenate(all_sizes), np.concatenate(all_ids)
         self.lots = np.concatenate([self.lots, np.zeros(len(fresh), np.int32)])
+        return places
 
     def _forget(self) -> None:
         import pyarrow as pa
@@ -201,11 +206,11 @@ class ChunkEncoder:
         distinct = pieces.dictionary
         if len(self.known) > MEMORY:
             self._forget()
-        found = pc.index_in(distinct, value_set=self.known)
-        if found.null_count:
-            self._learn(distinct.filter(found.is_null()))
-            found = pc.index_in(distinct, value_set=self.known)
-        found = found.to_numpy()
+        # Looking up hashes all that is known, so it is done once a lot.
+        found = np.array(pc.fill_null(pc.index_in(distinct, value_set=self.known), -1), np.int64)
+        fresh = found < 0
+        if fresh.any():
+            found[fresh] = self._learn(distinct.filter(pa.array(fresh)))
         self.lots[found] += 1
         sizes = self.sizes[found]
         begins = (np.cumsum(self.sizes) - self.sizes)[found]

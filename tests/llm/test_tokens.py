@@ -184,3 +184,18 @@ def test_forgetting_pieces_changes_no_ids(monkeypatch):
     texts = [*fuzz(n=100), *blanks, None, "", " ", "the the", "Ã", "x÷"]
     got = [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)]
     assert got == [e.ids for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_a_lot_is_looked_up_once(monkeypatch):
+    """Each look-up hashes all that is remembered, and nearly every lot has a new piece."""
+    import pyarrow.compute as pc
+
+    calls, plain = [], pc.index_in
+    monkeypatch.setattr(pc, "index_in", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    monkeypatch.setattr(packing, "LEARN_ROWS", 7)
+    own, whole = packing.ChunkEncoder(tokenizer_path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    for lot in range(3):
+        texts = [f"new{lot} a##b{k} word{chr(97 + k)}{chr(97 + lot)} old ## x{k}y" for k in range(20)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)]
+        assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert len(calls) == 3

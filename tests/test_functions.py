@@ -1,5 +1,6 @@
 """Golden values of the column functions."""
 import hashlib
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,13 @@ def test_small_functions(one):
     assert one(lambda: fn.confidence(F.lit(0.9)), t="") == 1.0
     prompt = one(lambda: fn.summary_prompt("t", "c"), t="100% T", c="c" * 4000)
     assert "Title: 100% T\n" in prompt and "Content: " + "c" * 3000 + "\n" in prompt
+
+
+def test_mail_pattern_takes_what_the_plain_one_takes(spark):
+    """The pattern that looks at beginnings of runs alone, against ``\\S+@\\S+``, over all short strings of a few characters."""
+    from presswork.functions.text import MAIL
+
+    texts = ["".join(t) for n in range(7) for t in itertools.product("a@  ", repeat=n)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        F.regexp_replace("t", r"(?U)\S+@\S+", "#").alias("plain"), F.regexp_replace("t", MAIL, "#").alias("now"))
+    assert df.filter("plain <> now").isEmpty() and not df.filter("contains(now, '#')").isEmpty()
